@@ -28,57 +28,76 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """A dict that makes missing values and starts anew when it holds most entries."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class Encoder:
-    """Texts to little-endian uint32 ids. Words are encoded by the tokenizers library once and then remembered.
+    """Texts to little-endian uint32 ids by the tokenizers library, whose answers for words are remembered.
 
-    The memory is bounded by ``most`` words and starts anew when full. Texts with other than PLAIN characters go to
-    the library whole; both ways give the library's ids for the whole text.
+    Texts of PLAIN characters without the tokenizer's special strings are lower-cased, split at white space and pre-tokenised here, which the tests hold against
+    the library; the library's model then encodes each new word once. Other texts go to the library whole. Either memory
+    (of chunks between white space, of pre-tokens) holds ``most`` entries at most.
     """
 
     def __init__(self, path: str, most: int = 300_000):
+        import struct
+
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.memo = Tokenizer.from_file(path), most, {}
-        n = self.tok.get_vocab_size()
-        self.ends = [str(self.tok.id_to_token(i)).endswith("</w>") for i in range(n)]
-        self.splits = any(self.ends)
+        self.tok = Tokenizer.from_file(path)
+        self.words = _expects(self.tok)
+        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        letters, model = _byte_alphabet(), self.tok.model
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        def word(w: str) -> bytes:
+            x = model.tokenize(w if w.isascii() else "".join([letters[b] for b in w.encode()]))
+            return struct.pack(f"<{len(x)}I", *[t.id for t in x])
 
-    def _learn(self, words: list[str]) -> None:
+        words = _Memo(word, most).__getitem__
+
+        def chunk(c: str) -> bytes:
+            return words(c) if c.isalpha() else b"".join(map(words, PRETOKEN.findall(c)))
+
+        self.chunks = _Memo(chunk, most).__getitem__
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        found: list[list[int]] = []
-        for k in range(0, len(words), 4000):
-            part = words[k : k + 4000]
-            own: list[list[int]] = [[]]
-            if self.splits:
-                for i in self._ids([" ".join(part)])[0]:
-                    own[-1].append(i)
-                    if self.ends[i]:
-                        own.append([])
-            found += own[:-1] if len(own) - 1 == len(part) and not own[-1] else self._ids(part)
-        if len(self.memo) + len(words) > self.most:
-            self.memo = {}
-        self.memo.update(zip(words, (np.array(x, "<u4").tobytes() for x in found)))
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        if not self.words:
+            return self.whole(texts)
+        plain = [bool(PLAIN.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
+        rest = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        return [b"".join(map(self.chunks, t.lower().split())) if p else next(rest) for t, p in zip(texts, plain)]
 
-        pre = [PRETOKEN.findall(t.lower()) if self.splits and PLAIN.fullmatch(t) else None for t in texts]
-        out: list[bytes] = []
-        for k in range(0, len(texts), 64):  # few texts at a time: what they need is then in memory together
-            part = pre[k : k + 64]
-            need = set().union(*[set(p) for p in part if p])
-            if miss := [w for w in need if w not in self.memo]:
-                self._learn(miss)
-                if again := [w for w in need if w not in self.memo]:
-                    self._learn(again)
-            whole = iter(self._ids([t for t, p in zip(texts[k : k + 64], part) if p is None]))
-            get = self.memo.__getitem__
-            out += [np.array(next(whole), "<u4").tobytes() if p is None else b"".join(map(get, p)) for p in part]
-        return out
+
+def _expects(tok) -> bool:
+    """Whether tok is of the kind that PRETOKEN was written for: BPE with word ends, lower case, byte letters."""
+    import json
+
+    spec = json.loads(tok.to_str())
+    pre = json.dumps(spec.get("pre_tokenizer"))
+    return spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(spec.get("normalizer")) and "ByteLevel" in pre and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pre
 
 
 _ENCODERS: dict[str, Encoder] = {}
