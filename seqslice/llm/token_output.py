@@ -135,7 +135,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = [r[0] for r in d.select(F.substring("text", 1, 16384).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(dict_docs).select("t").collect()]
+    # the ids first, so that a task hands on dict_docs numbers at most, whatever the number of tasks
+    ids = [r[0] for r in d.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dict_docs).collect()]
+    sample = [r[0] for r in d.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 16384)).limit(2 * dict_docs).collect()] if ids else []
     pieces = [b[i : i + 2048] for b in encoder(tokenizer_path).encode(sample) for i in range(0, len(b), 2048)]
     raw = train_dictionary(pieces, dict_bytes)
     dict_hash = sha256(raw).hexdigest()
