@@ -27,7 +27,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     d = d.withColumn("_w", F.split(F.trim(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", " ")), " "))
     d = d.withColumn("_lines", F.split("_t", "\n"))
-    for k, c in enumerate(STATISTICS.values()):
+    for k, c in enumerate(_columns()):
         d = d.withColumn(f"_x{k}", c.cast("double"))
     return d.drop("_t", "_w", "_lines")
 
@@ -36,23 +36,28 @@ def _share(pattern: str) -> Column:
     return F.regexp_count(F.col("_t"), F.lit(pattern)) / F.greatest(F.length("_t"), F.lit(1))
 
 
-_n = F.size("_w")
-STATISTICS: dict[str, Column] = {
-    "characters": F.length("_t"),
-    "words": _n,
-    "characters_per_word": F.length("_t") / _n,
-    "upper_share": _share(r"\p{Lu}"),
-    "digit_share": _share("[0-9]"),
-    "symbol_share": _share(r"[#$%&*+=<>{}\\^~_@/]"),
-    "bar_share": _share(r"\|"),
-    "exclamation_share": _share("[!?]"),
-    "stop_share": _share("[.,;:]"),
-    "distinct_words": F.size(F.array_distinct("_w")) / _n,
-    "repeated_next": F.size(F.filter(F.zip_with(F.slice("_w", F.lit(1), _n - 1), F.slice("_w", F.lit(2), _n), lambda a, b: a == b), lambda x: x)) / _n,
-    "distinct_lines": F.size(F.array_distinct("_lines")) / F.size("_lines"),
-    "words_per_line": _n / F.size("_lines"),
-    "longest_word": F.array_max(F.transform("_w", lambda w: F.length(w))),
-}
+#: The statistics that scores are made of, in the order of _columns().
+STATISTICS = ["characters", "words", "characters_per_word", "upper_share", "digit_share", "symbol_share", "bar_share", "exclamation_share", "stop_share", "distinct_words", "repeated_next", "distinct_lines", "words_per_line", "longest_word"]
+
+
+def _columns() -> list[Column]:
+    _n = F.size("_w")
+    return [
+        F.length("_t"),  # characters
+        _n,  # words
+        F.length("_t") / _n,  # characters_per_word
+        _share(r"\p{Lu}"),  # upper_share
+        _share("[0-9]"),  # digit_share
+        _share(r"[#$%&*+=<>{}\\^~_@/]"),  # symbol_share
+        _share(r"\|"),  # bar_share
+        _share("[!?]"),  # exclamation_share
+        _share("[.,;:]"),  # stop_share
+        F.size(F.array_distinct("_w")) / _n,  # distinct_words
+        F.size(F.filter(F.zip_with(F.slice("_w", F.lit(1), _n - 1), F.slice("_w", F.lit(2), _n), lambda a, b: a == b), lambda x: x)) / _n,  # repeated_next
+        F.size(F.array_distinct("_lines")) / F.size("_lines"),  # distinct_lines
+        _n / F.size("_lines"),  # words_per_line
+        F.array_max(F.transform("_w", lambda w: F.length(w))),  # longest_word
+    ]
 
 
 @dataclass
