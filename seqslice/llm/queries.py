@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op4_nearest
 from .chat import op8_chat_format
 from .decontam import op7_decontamination
+from .exact_dedup import op3_exact_dedup
 from .jaccard import op6_jaccard_join
 from .licenses import op9_license_scan
 from .mixing import op5_mixing
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_pii": op2_pii,
+    "op3_exact_dedup": op3_exact_dedup,
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_jaccard_join": op6_jaccard_join,
@@ -30,9 +32,9 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-WORDS7 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+WORDS7 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
-WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op6_jaccard_join": f"""
