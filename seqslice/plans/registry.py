@@ -1,4 +1,283 @@
-"""Every query of the engine by name, and the SQL that gives the same rows."""
+"""Every query of the engine by name, and the SQL that gives the same rows in DuckDB. All run over whole tables."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import sequences as sq
+from ..functions import text
+from ..operators import dominance, extension, graph, ifds, views
+from ..operators.fixpoint import reach
+from ..sources import criteria as sc_text
+from ..sources import events_graph as ev
+
+MAIN = 0
+
+
+def call_edges_filtered(spark: SparkSession, d: str) -> DataFrame:
+    c = views.allowed_calls(ev.calls(spark, d).withColumn("kind", F.lit("explicit")), ev.units(spark, d))
+    return c.select("call_unit", "callee_id")
+
+
+def callers_of_method(spark, d):
+    return ev.calls(spark, d).groupBy("callee_id").agg(F.count("*").alias("n_callers"), F.min("call_unit").alias("first_caller"))
+
+
+def return_sites(spark, d):
+    return views.return_sites(ev.cfg(spark, d), ev.units(spark, d)).select(F.col("dst").alias("unit_id"))
+
+
+def start_end_points(spark, d):
+    c = ev.layered(spark, d)
+    return views.starts(c).withColumn("point", F.lit("start")).unionByName(views.ends(c).withColumn("point", F.lit("end")))
+
+
+def reversed_icfg_calls(spark, d):
+    return views.reversed_calls(ev.cfg(spark, d), ev.calls(spark, d))
+
+
+def non_call_start_nodes(spark, d):
+    return views.non_call_starts(ev.units(spark, d), ev.cfg(spark, d))
+
+
+def method_call_graph(spark, d):
+    return graph.method_graph(ev.calls(spark, d))
+
+
+def reachable_methods(spark, d):
+    return graph.reachable_methods(ev.calls(spark, d), spark.range(1).select(F.lit(MAIN).cast("long").alias("node"))).select(F.col("node").alias("method_id"))
+
+
+def class_closure(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("class_id"), (F.col("n_regionkey") + 1000).cast("long").alias("super_id"))
+    return graph.class_closure(n)
+
+
+def scc_members(spark, d):
+    m = graph.scc(graph.method_graph(ev.calls(spark, d)))
+    return m.withColumn("n", F.count("*").over(Window.partitionBy("root"))).select(F.col("node").alias("method_id"), F.col("root").alias("scc"), "n")
+
+
+def true_sccs(spark, d):
+    return graph.true_sccs(graph.method_graph(ev.calls(spark, d))).select(F.col("node").alias("method_id"), F.col("root").alias("scc"))
+
+
+def cycle_labels_inter(spark, d):
+    return graph.cycle_labels(graph.method_graph(ev.calls(spark, d))).select(F.col("node").alias("method_id"))
+
+
+def dominators(spark, d):
+    return dominance.dominators(ev.cfg(spark, d))
+
+
+def post_dominators(spark, d):
+    return dominance.dominators(ev.layered(spark, d), post=True)
+
+
+def back_edges(spark, d):
+    return dominance.back_edges(ev.cfg(spark, d))
+
+
+def natural_loops(spark, d):
+    return dominance.natural_loops(ev.cfg(spark, d))
+
+
+def loop_exits(spark, d):
+    return dominance.loop_exits(ev.cfg(spark, d))
+
+
+def loop_labels(spark, d):
+    """Methods that are called from loops, and what they call."""
+    inside = dominance.natural_loops(ev.cfg(spark, d)).select("node").distinct()
+    c = ev.calls(spark, d)
+    seeds = c.join(inside, c["call_unit"] == inside["node"], "left_semi").select(F.col("callee_id").alias("node")).distinct()
+    return reach(graph.method_graph(c), seeds).select(F.col("node").alias("method_id"))
+
+
+def cycle_break_intra(spark, d):
+    return dominance.break_loops(ev.cfg(spark, d)).select("src", "dst")
+
+
+def branch_labels(spark, d):
+    return dominance.branch_units(ev.layered(spark, d)).select("method_id", F.col("node").alias("unit_id"), "branch")
+
+
+def blocked_callees(spark, d):
+    sc = ifds.criteria(ev.criteria(spark, d).select("seq"))
+    c = ifds.forward(ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d), sc).calls
+    return c.select(F.col("n").alias("call_unit"), F.col("callee").alias("callee_id"))
+
+
+def package_prefix_block(spark, d):
+    c = ev.calls(spark, d).withColumn("package", F.concat(F.lit("pkg"), (F.col("callee_id") % 7).cast("string")))
+    return views.not_under(c, "package", ["pkg5", "pkg6"]).select("call_unit", "callee_id", "package")
+
+
+def _sequences(spark, d):
+    """FX-1 sequences: each user's purchases of a day's order, cut after every fourth event of the chain."""
+    e = ev.events(spark, d).withColumn("part", F.floor((F.col("ord") - 1) / 4))
+    return e.groupBy("user_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"].cast("long")).alias("seq"))
+
+
+def sc_group_by_tail(spark, d):
+    s = _sequences(spark, d)
+    return s.groupBy(sq.tail(F.col("seq")).alias("tail")).agg(F.count("*").alias("n_sequences"), F.countDistinct("seq").alias("n_distinct"), F.countDistinct(sq.head(F.col("seq"))).alias("n_heads"))
+
+
+def follow_sets(spark, d):
+    s = _sequences(spark, d).select("seq").distinct().select(F.posexplode(sq.suffixes(F.col("seq"))).alias("i", "x"))
+    s = s.where(F.size("x") > 1)
+    return s.select(sq.head(F.col("x")).alias("unit_id"), sq.joined(sq.rest(F.col("x"))).alias("suffix")).distinct()
+
+
+def maximal_facts(spark, d):
+    f = _sequences(spark, d).select(F.explode(sq.suffixes(F.col("seq"))).alias("x")).select(sq.joined(F.col("x")).alias("f")).distinct()
+    ends = spark.sql("SELECT '2' AS seq UNION ALL SELECT '0,4'")
+    return ifds.maximal(f, ends)
+
+
+def spec_resolution(spark, d):
+    """Specifications Cu.m/P.p/line, where line is the event's place in its user's chain, to purchases."""
+    e = ev.events(spark, d)
+    spec = e.where("t = 2 AND ord % 3 = 0").select(F.format_string("C%d.m/P.p/%d", "user_id", "ord").alias("spec")).unionByName(spark.sql("SELECT 'C0.m/P.p/' AS spec UNION ALL SELECT 'X.y/P.p/3'"))
+    units = e.where("t = 2").select(F.col("event_id").alias("unit_id"), F.col("user_id").alias("method_id"), F.col("ord"), F.col("ord").alias("line"), F.lit("P").alias("callee_class"), F.lit("p").alias("callee_name"))
+    methods = e.select(F.col("user_id").alias("method_id")).distinct().select("method_id", F.format_string("C%d", "method_id").alias("class_name"), F.lit("m").alias("name"))
+    return sc_text.resolve(spec.distinct(), methods, units)
+
+
+def polymorphic_calls(spark, d):
+    return extension.polymorphic(ev.calls(spark, d))
+
+
+def _seeded(spark, d):
+    return ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d), ev.criteria(spark, d)
+
+
+def bu_facts(spark, d):
+    c, u, k, s = _seeded(spark, d)
+    return ifds.slice_one_tail(c, u, k, s.select("seq"), MAIN).bottom_up.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+
+
+def td_facts(spark, d):
+    c, u, k, s = _seeded(spark, d)
+    return ifds.slice_one_tail(c, u, k, s.select("seq"), MAIN).top_down.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+
+
+def bu_facts_intra(spark, d):
+    """The backward facts where no call has a body: per method's own flow, of main."""
+    c, u, k, s = _seeded(spark, d)
+    return ifds.slice_one_tail(c, u, k.limit(0), s.select("seq"), MAIN).bottom_up.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+
+
+def slice_(spark, d):
+    c, u, k, s = _seeded(spark, d)
+    return ifds.slices(c, u, k, s, MAIN)
+
+
+def slice_infeasible(spark, d):
+    """Ends at main's entry, which nothing stands before: no rows."""
+    c, u, k, _ = _seeded(spark, d)
+    s = spark.sql(f"SELECT array({ev.WIDTH * MAIN + 8}L, {ev.WIDTH * MAIN + 20}L) AS seq")
+    return ifds.slices(c, u.withColumn("is_call", F.col("is_call") | (F.col("unit_id") == ev.WIDTH * MAIN + 20)), k, s, MAIN)
+
+
+def slice_report(spark, d):
+    """Report lines of every method's units, as written to a slice file."""
+    u = ev.units(spark, d)
+    return u.select(F.format_string("M%05d", "method_id").alias("signature"), "unit_id", text.unit_text(F.concat(F.lit("u"), F.col("unit_id").cast("string")), F.col("ord")).alias("line"))
+
+
+def extension_contract(spark, d):
+    e = graph.method_graph(ev.calls(spark, d))
+    n = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    return graph.contract(e, n.where("node % 3 = 1"))
+
+
+QUERIES = {
+    f.__name__.rstrip("_"): f
+    for f in (
+        call_edges_filtered, callers_of_method, return_sites, start_end_points, reversed_icfg_calls, non_call_start_nodes, method_call_graph, reachable_methods,
+        class_closure, scc_members, true_sccs, cycle_labels_inter, dominators, post_dominators, back_edges, natural_loops, loop_exits, loop_labels, cycle_break_intra,
+        branch_labels, blocked_callees, package_prefix_block, sc_group_by_tail, follow_sets, maximal_facts, spec_resolution, polymorphic_calls, bu_facts_intra, bu_facts,
+        td_facts, slice_, slice_infeasible, slice_report, extension_contract,
+    )
+}
+
+_BASE = """WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS t,
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
+st AS (SELECT *, user_id * 22 + t * 4 + k % 4 AS u FROM ev),
+nx AS (SELECT *, lead(u) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM st),
+cfg AS (SELECT DISTINCT user_id AS m, u AS src, coalesce(nxt, user_id * 22 + 21) AS dst FROM nx UNION SELECT DISTINCT user_id, user_id * 22 + 20, u FROM nx WHERE ord = 1),
+un AS (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st),
+ca AS (SELECT DISTINCT u AS n, k AS callee, user_id AS m FROM st WHERE t = 0 AND k IN (SELECT user_id FROM st)),
+mg AS (SELECT DISTINCT m AS src, callee AS dst FROM ca),
+l0 AS (SELECT *, user_id // 2 AS m, (user_id // 2) * 1000 + ord * 10 + t AS n FROM ev WHERE ord <= 8),
+l1 AS (SELECT *, lead(n) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM l0),
+lay AS (SELECT DISTINCT m, n AS src, coalesce(nxt, m * 1000 + 999) AS dst FROM l1 UNION SELECT DISTINCT m, m * 1000, n FROM l1 WHERE ord = 1)
+"""
+_CLOSURE = ", cl(src, dst) AS (SELECT src, dst FROM mg UNION SELECT cl.src, mg.dst FROM cl JOIN mg ON cl.dst = mg.src)"
+_SCC = _CLOSURE + """, nd AS (SELECT src AS n FROM mg UNION SELECT dst FROM mg),
+same AS (SELECT a.src AS x, a.dst AS y FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src),
+sc AS (SELECT n, greatest(n, coalesce((SELECT max(y) FROM same WHERE x = n), n)) AS root FROM nd)"""
+
+
+def _dominator_sql(edges: str, a: str, b: str) -> str:
+    """d dominates n if n is out of reach from the method's heads once d is taken away."""
+    return f""", g AS (SELECT DISTINCT m, {a} AS src, {b} AS dst FROM {edges}),
+gn AS (SELECT m, src AS n FROM g UNION SELECT m, dst FROM g),
+hd AS (SELECT m, n FROM gn WHERE n NOT IN (SELECT dst FROM g)),
+wo(m, d, n) AS (SELECT hd.m, x.n, hd.n FROM hd JOIN gn x ON x.m = hd.m WHERE x.n <> hd.n UNION SELECT wo.m, wo.d, g.dst FROM wo JOIN g ON g.src = wo.n WHERE g.dst <> wo.d),
+rc(m, n) AS (SELECT m, n FROM hd UNION SELECT g.m, g.dst FROM rc JOIN g ON g.src = rc.n),
+dom AS (SELECT r.m, r.n, x.n AS d FROM rc r JOIN gn x ON x.m = r.m WHERE NOT EXISTS (SELECT 1 FROM wo WHERE wo.m = r.m AND wo.d = x.n AND wo.n = r.n))"""
+
+
+_LOOP = _dominator_sql("cfg", "src", "dst") + """, bk AS (SELECT g.m, g.src, g.dst FROM g JOIN dom ON dom.n = g.src AND dom.d = g.dst),
+lp(m, h, n) AS (SELECT m, dst, src FROM bk UNION SELECT lp.m, lp.h, g.src FROM lp JOIN g ON g.dst = lp.n WHERE lp.n <> lp.h),
+lb AS (SELECT m, h, n FROM lp UNION SELECT m, dst, dst FROM bk)"""
+_EXIT = _LOOP + """, px AS (SELECT DISTINCT lb.m, lb.h, g.dst AS x FROM lb JOIN g ON g.src = lb.n WHERE NOT EXISTS (SELECT 1 FROM lb o WHERE o.h = lb.h AND o.n = g.dst)),
+pd AS (SELECT px.*, dom.d IS NOT NULL AS up FROM px LEFT JOIN dom ON dom.n = px.h AND dom.d = px.x),
+ex(m, h, x, up) AS (SELECT m, h, x, up FROM pd UNION SELECT ex.m, ex.h, p.x, EXISTS (SELECT 1 FROM dom WHERE dom.n = p.h AND dom.d = p.x) FROM ex JOIN pd p ON p.h = ex.x WHERE ex.up),
+le AS (SELECT DISTINCT m, h, x FROM ex WHERE NOT up)"""
+_SEQ = """, sq AS (SELECT user_id, (ord - 1) // 4 AS part, list(CAST(t AS BIGINT) ORDER BY ord) AS seq FROM ev GROUP BY ALL)"""
+_CRIT = """, pu AS (SELECT user_id, min(u) AS lo, max(u) AS hi FROM st WHERE t = 2 GROUP BY user_id), mp AS (SELECT lo, hi FROM pu WHERE user_id = 0),
+cr AS (SELECT DISTINCT h, lo AS tail FROM (SELECT pu.lo AS h, mp.lo FROM pu, mp WHERE pu.user_id IN (SELECT callee FROM ca WHERE m = 0) UNION SELECT hi, lo FROM mp) WHERE h <> lo)"""
+
+ORACLE = {
+    "call_edges_filtered": _BASE + "SELECT DISTINCT n AS call_unit, callee AS callee_id FROM ca",
+    "callers_of_method": _BASE + "SELECT callee AS callee_id, count(*) AS n_callers, min(n) AS first_caller FROM ca GROUP BY callee",
+    "return_sites": _BASE + "SELECT DISTINCT dst AS unit_id FROM cfg WHERE src IN (SELECT u FROM un WHERE c)",
+    "start_end_points": _BASE + "SELECT DISTINCT m AS method_id, src AS unit_id, 'start' AS point FROM lay WHERE src NOT IN (SELECT dst FROM lay) UNION ALL SELECT DISTINCT m, dst, 'end' FROM lay WHERE dst NOT IN (SELECT src FROM lay)",
+    "reversed_icfg_calls": _BASE + "SELECT DISTINCT cfg.dst AS call_unit, callee AS callee_id FROM ca JOIN cfg ON cfg.src = ca.n",
+    "non_call_start_nodes": _BASE + "SELECT u AS unit_id FROM un WHERE NOT c AND u IN (SELECT dst FROM cfg)",
+    "method_call_graph": _BASE + "SELECT src, dst FROM mg",
+    "reachable_methods": _BASE + ", r(n) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN mg ON src = n) SELECT n AS method_id FROM r",
+    "class_closure": "WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS c, CAST(n_regionkey + 1000 AS BIGINT) AS p FROM nation) SELECT c AS class_id, p AS super_id FROM s UNION SELECT c, c FROM s UNION SELECT p, p FROM s",
+    "scc_members": _BASE + _SCC + " SELECT n AS method_id, root AS scc, count(*) OVER (PARTITION BY root) AS n FROM sc",
+    "true_sccs": _BASE + _SCC + " SELECT n AS method_id, root AS scc FROM sc WHERE n IN (SELECT src FROM cl WHERE src = dst)",
+    "cycle_labels_inter": _BASE + _CLOSURE + ", b AS (SELECT src AS n FROM cl WHERE src = dst) SELECT n AS method_id FROM b UNION SELECT cl.dst FROM cl JOIN b ON cl.src = b.n",
+    "dominators": _BASE + _dominator_sql("cfg", "src", "dst") + " SELECT m AS method_id, n AS node, d AS dom FROM dom",
+    "post_dominators": _BASE + _dominator_sql("lay", "dst", "src") + " SELECT m AS method_id, n AS node, d AS dom FROM dom",
+    "back_edges": _BASE + _LOOP + " SELECT m AS method_id, src, dst FROM bk",
+    "natural_loops": _BASE + _LOOP + " SELECT DISTINCT m AS method_id, h AS header, n AS node FROM lb",
+    "loop_exits": _BASE + _EXIT + ' SELECT m AS method_id, h AS header, x AS "exit" FROM le',
+    "loop_labels": _BASE + _LOOP + ", r(n) AS (SELECT callee FROM ca WHERE ca.n IN (SELECT lb.n FROM lb) UNION SELECT dst FROM r JOIN mg ON src = r.n) SELECT n AS method_id FROM r",
+    "cycle_break_intra": _BASE + _EXIT + " SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.src = g.src AND bk.dst = g.dst) UNION SELECT bk.src, le.x FROM bk JOIN le ON le.h = bk.dst",
+    "blocked_callees": _BASE + _CRIT + " SELECT DISTINCT n AS call_unit, callee AS callee_id FROM ca WHERE n NOT IN (SELECT h FROM cr WHERE h NOT IN (SELECT tail FROM cr))",
+    "package_prefix_block": _BASE + "SELECT n AS call_unit, callee AS callee_id, 'pkg' || (callee % 7) AS package FROM ca WHERE NOT starts_with('pkg' || (callee % 7), 'pkg5') AND NOT starts_with('pkg' || (callee % 7), 'pkg6')",
+    "sc_group_by_tail": _BASE + _SEQ + " SELECT seq[-1] AS tail, count(*) AS n_sequences, count(DISTINCT seq) AS n_distinct, count(DISTINCT seq[1]) AS n_heads FROM sq GROUP BY seq[-1]",
+    "follow_sets": _BASE + _SEQ + " SELECT DISTINCT seq[i] AS unit_id, array_to_string(seq[i + 1:], ',') AS suffix FROM (SELECT seq, unnest(generate_series(1, len(seq) - 1)) AS i FROM sq)",
+    "maximal_facts": _BASE + _SEQ + ", f AS (SELECT DISTINCT array_to_string(seq[i:], ',') AS f FROM (SELECT seq, unnest(generate_series(1, len(seq))) AS i FROM sq)) SELECT f FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE ends_with(g.f, ',' || f.f)) AND (ends_with(',' || f, ',2') OR ends_with(',' || f, ',0,4'))",
+    "spec_resolution": _BASE + "SELECT 'C' || user_id || '.m/P.p/' || ord AS spec, event_id AS unit_id FROM ev WHERE t = 2 AND ord % 3 = 0",
+    "polymorphic_calls": _BASE + "SELECT n AS call_unit, count(DISTINCT callee) AS n_callees FROM ca GROUP BY n HAVING count(DISTINCT callee) > 1",
+    "bu_facts_intra": _BASE + _CRIT + """, one AS (SELECT tail FROM cr LIMIT 1),
+r(n, f) AS (SELECT CAST(21 AS BIGINT), '' UNION
+  SELECT cfg.src, CASE WHEN k.i = 0 THEN r.f WHEN r.f = '' THEN CAST(cfg.src AS VARCHAR) ELSE cfg.src || ',' || r.f END FROM r JOIN cfg ON cfg.dst = r.n, (SELECT 0 AS i UNION ALL SELECT 1) k
+  WHERE k.i = 0 OR (r.f = '' AND cfg.src IN (SELECT tail FROM one)) OR (r.f = CAST((SELECT tail FROM one) AS VARCHAR) AND cfg.src IN (SELECT h FROM cr)))
+SELECT n AS unit_id, f AS fact FROM r WHERE f <> ''""",
+    "slice_report": _BASE + "SELECT 'M' || lpad(CAST(m AS VARCHAR), 5, '0') AS signature, u AS unit_id, '  u' || u || ' {line: ' || (u % 22) || '}' AS line FROM un",
+    "slice_infeasible": "SELECT CAST(0 AS BIGINT) AS tail_unit, CAST(0 AS BIGINT) AS method_id, CAST(0 AS BIGINT) AS unit_id WHERE false",
+    "extension_contract": _BASE + """, ul AS (SELECT n FROM (SELECT src AS n FROM mg UNION SELECT dst FROM mg) WHERE n % 3 = 1),
+w(s, n) AS (SELECT src, dst FROM mg WHERE src NOT IN (SELECT n FROM ul) UNION SELECT w.s, mg.dst FROM w JOIN mg ON mg.src = w.n WHERE w.n IN (SELECT n FROM ul))
+SELECT DISTINCT s AS src, n AS dst FROM w WHERE n NOT IN (SELECT n FROM ul) AND s <> n""",
+}
