@@ -13,9 +13,9 @@ def resolve(specs: DataFrame, methods: DataFrame, units: DataFrame) -> DataFrame
     methods: method_id, class_name, name; units: unit_id, method_id, ord, line, callee_class, callee_name.
     """
     p = F.split("spec", "/")
-    s = specs.withColumn("_p", p).where((F.size("_p") == 3) & F.try_element_at("_p", F.lit(3)).rlike("^-?[0-9]+$"))
-    caller, callee = F.element_at("_p", 1), F.element_at("_p", 2)
-    s = s.select("spec", class_name(caller).alias("class_name"), method_name(caller).alias("name"), class_name(callee).alias("callee_class"), method_name(callee).alias("callee_name"), F.element_at("_p", 3).cast("long").alias("_line"))
+    s = specs.withColumn("_p", p).where(F.size("_p") == 3)
+    caller, callee = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    s = s.select("spec", class_name(caller).alias("class_name"), method_name(caller).alias("name"), class_name(callee).alias("callee_class"), method_name(callee).alias("callee_name"), F.get("_p", F.lit(2)).try_cast("long").alias("_line"))
     m = s.join(methods, ["class_name", "name"]).join(units, ["method_id", "callee_class", "callee_name"])
     m = m.where((F.col("line") == F.col("_line")) & (F.col("_line") != -1))
     return m.withColumn("_r", F.row_number().over(Window.partitionBy("spec").orderBy("method_id", "ord", "unit_id"))).where("_r = 1").select("spec", "unit_id")
