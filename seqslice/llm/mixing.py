@@ -116,7 +116,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     cols = docs.columns
     d = mix(docs, **how).select(*cols, F.col("_mix.size").alias("_size"), F.explode("_mix.draws").alias("_d"))
-    head = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_d.words").cast("string"), F.lit("}")), F.lit(0))
+    head = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?s)\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_d.words").cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("_d.words") < F.col("_size"), head).otherwise(F.col("text"))
     if "n_chars" in cols:
         d = d.withColumn("n_chars", F.when(F.col("_d.words") < F.col("_size"), F.length(text).cast("long")).otherwise(F.col("n_chars")))
