@@ -41,6 +41,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python at most rows rows at a time: texts are long, and a batch is held on both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop_stage(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import broadcast_if_small, drop_stage, row_key, stage, table
+from .common import broadcast_if_small, drop_stage, row_key, small_batches, stage, table
 
 NEED = 400
 GRAM = 32
@@ -157,6 +157,7 @@ def _in_shards(segments: DataFrame, chunk: int = 1 << 20) -> DataFrame:
 
 def removals(docs: DataFrame, hot: int = 1000) -> DataFrame:
     """(doc_id, th, spans): window starts, as runs (a, b), that repeat; hot: segments of an anchor that count as many."""
+    small_batches(docs.sparkSession)
     every = stage(find_anchors(docs), "anchors")
     kinds = every.groupBy("h", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a", "b", "p")).alias("x"))
     kinds = stage(kinds, "segment-kinds")

@@ -19,7 +19,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_path, parts_for, table, text_bytes
+from .common import new_path, parts_for, small_batches, table, text_bytes
 
 BLOCKS = "shard int, block int, first_doc long, last_doc long, token_start long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, dict_hash string, payload binary"
 #: Texts of these characters alone may go word by word: normalisation, case and white space hold no surprise there.
@@ -57,7 +57,7 @@ class Encoder:
     (of chunks between white space, of pre-tokens) holds ``most`` entries at most.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import struct
 
         from tokenizers import Tokenizer
@@ -100,15 +100,6 @@ def _expects(tok) -> bool:
     return spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(spec.get("normalizer")) and "ByteLevel" in pre and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pre
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstd dictionary for serialized id arrays; b'' if there is nothing to learn from."""
     import zstandard
@@ -138,10 +129,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     # the ids first, so that a task hands on dict_docs numbers at most, whatever the number of tasks
     ids = [r[0] for r in d.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dict_docs).collect()]
     sample = [r[0] for r in d.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 16384)).limit(2 * dict_docs).collect()] if ids else []
-    pieces = [b[i : i + 2048] for b in encoder(tokenizer_path).encode(sample) for i in range(0, len(b), 2048)]
+    pieces = [b[i : i + 2048] for b in Encoder(tokenizer_path).encode(sample) for i in range(0, len(b), 2048)]
     raw = train_dictionary(pieces, dict_bytes)
     dict_hash = sha256(raw).hexdigest()
     n = parts_for(text_bytes(d), shard_bytes)
+    small_batches(spark)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
@@ -152,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         shard = TaskContext.get().partitionId()
         dic = _dictionary(raw)
         comp = zstandard.ZstdCompressor(level=level, dict_data=dic) if dic else zstandard.ZstdCompressor(level=level)
-        enc = encoder(tokenizer_path)
+        enc = Encoder(tokenizer_path)
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((x, pa.int64()) for x in names[2:5]), *((x, pa.list_(pa.int64())) for x in names[5:8]), ("dict_hash", pa.string()), ("payload", pa.binary())])
         block, start, ids, counts, offsets, payload = 0, 0, [], [], [0], []
