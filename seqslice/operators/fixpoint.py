@@ -25,21 +25,27 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 500) -> DataFrame:
-    """The least relation that holds seed and step's results. step gets (new rows, all rows) and may return known rows."""
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 500, merge: int = 16) -> DataFrame:
+    """The least relation that holds seed and step's results. step gets (new rows, all rows) and may return known rows.
+
+    The relation is the rounds' tables together; every merge tables become one, so that few files are listed and read.
+    """
     spark, cols = seed.sparkSession, seed.columns
     base = f"{shared_dir(spark)}/fixpoint-{uuid.uuid4().hex}"
-    paths = [f"{base}/0"]
-    seed.distinct().write.parquet(paths[0])
     read = lambda *p: spark.read.schema(seed.schema).parquet(*p)
+    seed.distinct().write.parquet(f"{base}/0")
+    paths, last = [f"{base}/0"], f"{base}/0"
     for k in range(1, most + 1):
-        every, delta = read(*paths), read(paths[-1])
-        new = step(delta, every).select(*cols).distinct().join(every, cols, "left_anti")
-        # one write a round; the relation is the rounds' tables together
-        new.write.parquet(f"{base}/{k}")
-        if read(f"{base}/{k}").isEmpty():
+        every = read(*paths)
+        new = step(read(last), every).select(*cols).distinct().join(every, cols, "left_anti")
+        last = f"{base}/{k}"
+        new.write.parquet(last)
+        if read(last).isEmpty():
             return every
-        paths.append(f"{base}/{k}")
+        paths.append(last)
+        if len(paths) > merge:
+            read(*paths).write.parquet(f"{base}/to-{k}")
+            paths = [f"{base}/to-{k}"]
     raise RuntimeError(f"no fixpoint in {most} rounds")
 
 

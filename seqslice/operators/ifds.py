@@ -18,7 +18,9 @@ ZERO, EPSILON = "", "e"
 
 @dataclass
 class GraphView:
-    """A two-level graph in one direction: next (n, r), calls (n, callee), callers (callee, r), starts and exits (m, n), call_nodes (n)."""
+    """A two-level graph in one direction: next (n, r), calls (n, callee), callers (callee, r), starts and exits (m, n), call_nodes (n).
+
+    callers also has the calls that are not entered."""
 
     next: DataFrame
     calls: DataFrame
@@ -46,7 +48,7 @@ def criteria(sequences: DataFrame) -> Criteria:
     x = s.select("seq", F.posexplode("seq").alias("i", "n"))
     units = x.groupBy("n").agg(F.max(F.col("i") == F.size("seq") - 1).alias("is_tail"), F.max(F.col("i") == 0).alias("is_head"))
     rest = x.where(F.col("i") < F.size("seq") - 1).select("n", text(F.slice("seq", F.col("i") + 2, F.size("seq") - F.col("i") - 1)).alias("rest"))
-    return Criteria(stage(units), stage(rest.distinct()), stage(s.select(text(F.col("seq")).alias("seq"))))
+    return Criteria(units, rest.distinct(), s.select(text(F.col("seq")).alias("seq")))
 
 
 def text(seq: Column) -> Column:
@@ -86,50 +88,70 @@ def only(v: GraphView, units: DataFrame) -> GraphView:
     return GraphView(v.next.join(units.select(F.col("n").alias("r")), "r", "left_semi").select("n", "r"), v.calls, v.starts, v.exits, v.call_nodes, v.callers)
 
 
+KEEP, DROP, PUT, STRIP = "keep", "drop", "put", "strip"
+
+
 class Flows:
-    """Four flow functions, rows with f in and out; rows have n, r and, in calls and returns, callee."""
+    """What a pass does to facts, as tables, so that a round is one join with them.
+
+    moves (n, r, callee, op, fin, fout): from n to r, in the same method or, where callee is given, at its start. KEEP passes
+    all facts, DROP zero alone, PUT turns fin into fout, STRIP takes n off the front. sites (n, callee, r, real): where callee
+    returns to from n; zero alone returns if not real.
+    """
 
-    def normal(self, d: DataFrame) -> DataFrame:
-        return d
+    strips_calls = False
 
-    def call(self, d: DataFrame) -> DataFrame:
-        return d
+    def __init__(self, view: GraphView, sc: Criteria):
+        self.view, self.sc = view, sc
 
-    def back(self, d: DataFrame) -> DataFrame:
-        return d
+    def local(self) -> DataFrame:
+        return self.view.next.select("n", "r", F.lit(KEEP).alias("op"), *_no_facts())
 
-    def over(self, d: DataFrame) -> DataFrame:
-        return d
+    def moves(self) -> DataFrame:
+        v = self.view
+        starts = v.starts.select(F.col("m").alias("callee"), F.col("n").alias("r"))
+        into = v.calls.join(starts, "callee").select("n", "r", "callee", F.lit(STRIP if self.strips_calls else KEEP).alias("op"), *_no_facts())
+        return self.local().withColumn("callee", F.lit(None).cast("long")).select(*into.columns).unionByName(into)
 
+    def sites(self) -> DataFrame:
+        return self.view.calls.join(self.view.next, "n").select("n", "callee", "r", F.lit(True).alias("real"))
 
-def _grown(d: DataFrame, at: str, more: DataFrame) -> DataFrame:
-    """d and, for rows of more (n, f), also n put before f."""
-    x = more.select(F.col("n").alias("_n"), F.col("f").alias("_f"))
-    new = d.join(x, (d[at] == x["_n"]) & (d["f"] == x["_f"])).withColumn("f", add_head(F.col("_n"), F.col("_f"))).select(*d.columns)
-    return d.unionByName(new)
+    def returned(self, x: DataFrame) -> DataFrame:
+        """x (n, r, callee, f and others) with what else a return gives."""
+        return x
+
+
+def _no_facts() -> list[Column]:
+    return [F.lit(None).cast("string").alias("fin"), F.lit(None).cast("string").alias("fout")]
 
 
 class BottomUp(Flows):
     """Facts are what is matched from a unit to the end; they grow where a call is passed that may stand before them."""
 
-    def __init__(self, view: GraphView, sc: Criteria, ext: DataFrame | None = None):
-        self.callers, self.sc, self.ext = view.callers, sc, ext
-        self.grow = stage(sc.follow.select("n", F.col("rest").alias("f")).unionByName(sc.units.where("is_tail").select("n", F.lit(ZERO).alias("f"))))
+    def __init__(self, view: GraphView, sc: Criteria, callers: DataFrame, ext: DataFrame | None = None):
+        super().__init__(view, sc)
+        self.callers, self.ext = callers, ext
 
-    def over(self, d: DataFrame) -> DataFrame:
-        return _grown(d, "r", self.grow)
+    def local(self) -> DataFrame:
+        v, sc = self.view, self.sc
+        grow = sc.follow.select(F.col("n").alias("r"), F.col("rest").alias("fin")).unionByName(sc.units.where("is_tail").select(F.col("n").alias("r"), F.lit(ZERO).alias("fin")))
+        put = v.next.join(v.call_nodes, "n", "left_semi").join(grow, "r")
+        return super().local().unionByName(put.select("n", "r", F.lit(PUT).alias("op"), "fin", add_head(F.col("r"), F.col("fin")).alias("fout")))
 
-    def back(self, d: DataFrame) -> DataFrame:
-        d = d.join(self.callers, ["callee", "r"], "left_semi")
+    def sites(self) -> DataFrame:
+        real = self.callers.select("callee", "r", F.lit(True).alias("_real")).distinct()
+        return super().sites().join(real, ["callee", "r"], "left").select("n", "callee", "r", F.col("_real").isNotNull().alias("real"))
+
+    def returned(self, x: DataFrame) -> DataFrame:
         if self.ext is None:
-            return d
+            return x
         first = F.substring_index("f", ",", 1).cast("long")
         inside = self.sc.units.where("not is_head").select(F.col("n").alias("_h"))
-        x = self.ext.select(F.col("unit").alias("_h"), F.col("ext_unit").alias("_x"))
-        new = d.where((F.col("f") != ZERO) & (F.col("f") != EPSILON)).withColumn("_head", first)
-        new = new.join(inside, F.col("_head") == F.col("_h"), "left_anti").join(x, (F.col("_head") == F.col("_h")) & (F.col("r") == F.col("_x")))
+        e = self.ext.select(F.col("unit").alias("_h"), F.col("ext_unit").alias("_x"))
+        new = x.where((F.col("f") != ZERO) & (F.col("f") != EPSILON)).withColumn("_head", first)
+        new = new.join(inside, F.col("_head") == F.col("_h"), "left_anti").join(e, (F.col("_head") == F.col("_h")) & (F.col("r") == F.col("_x")))
         new = new.where(~F.array_contains(F.split("f", ","), F.col("r").cast("string")))
-        return d.unionByName(new.withColumn("f", add_head(F.col("r"), F.col("f"))).select(*d.columns))
+        return x.unionByName(new.withColumn("f", add_head(F.col("r"), F.col("f"))).select(*x.columns))
 
 
 def strip(f: Column, n: Column) -> Column:
@@ -142,47 +164,64 @@ class TopDown(Flows):
     """Facts are what is still to be matched; a criteria call strips itself, other calls with bodies stop what passes over."""
 
     def __init__(self, view: GraphView, sc: Criteria, extended: bool = False):
-        self.sc, self.extended = sc, extended
-        self.entered = stage(view.calls.select("n").distinct().join(sc.units.select("n"), "n", "left_anti"))
-
-    def over(self, d: DataFrame) -> DataFrame:
-        own = self.sc.units.select(F.col("n").alias("_u"))
-        d = d.join(self.entered, "n", "left_anti").join(F.broadcast(own) if own.count() < 100_000 else own, d["n"] == own["_u"], "left")
-        return d.withColumn("f", F.when(F.col("_u").isNotNull(), strip(F.col("f"), F.col("n"))).otherwise(F.col("f"))).drop("_u")
+        super().__init__(view, sc)
+        self.strips_calls = extended
 
-    def call(self, d: DataFrame) -> DataFrame:
-        return d.withColumn("f", strip(F.col("f"), F.col("n"))) if self.extended else d
+    def local(self) -> DataFrame:
+        v, yes = self.view, F.lit(True)
+        own = self.sc.units.select("n")
+        x = v.next.join(v.call_nodes.distinct().withColumn("_call", yes), "n", "left").join(own.withColumn("_own", yes), "n", "left")
+        x = x.join(v.calls.select("n").distinct().withColumn("_body", yes), "n", "left")
+        op = F.when(F.col("_call").isNull(), KEEP).when(F.col("_own"), STRIP).when(F.col("_body"), DROP).otherwise(KEEP)
+        return x.select("n", "r", op.alias("op"), *_no_facts())
 
 
 def solve(view: GraphView, seeds: DataFrame, flows: Flows) -> DataFrame:
     """(n, f) from seeds (m, n, f): every fact that holds at a unit on some matched path, zero included."""
-    v = view
-    start = seeds.select("m", F.col("f").alias("d1"), "n", "f")
-    entered = v.calls.join(v.starts.select(F.col("m").alias("callee"), F.col("n").alias("s")), "callee")
-    entered, sites = stage(entered.select("n", "callee", "s")), stage(v.calls.join(v.next, "n").select("n", "callee", "r"))
+    end = view.exits.select(F.col("n").alias("r")).distinct().withColumn("r_end", F.lit(True))
+    calls = view.calls.select(F.col("n").alias("r")).distinct().withColumn("r_calls", F.lit(True))
 
-    def with_zero(out: DataFrame, plain: DataFrame) -> DataFrame:
-        return out.select("m", "d1", "n", "f").unionByName(plain.where(F.col("f") == ZERO).select("m", "d1", "n", "f"))
+    def marked(x: DataFrame) -> DataFrame:
+        """With what r is: rounds then find exits and call sites among their rows without a join."""
+        x = x.join(end, "r", "left").join(calls, "r", "left")
+        return x.withColumn("r_end", F.col("r_end").isNotNull()).withColumn("r_calls", F.col("r_calls").isNotNull())
+
+    moves, sites = stage(marked(flows.moves()).distinct()), stage(marked(flows.sites()).distinct())
+    any_call = not sites.isEmpty()
+    f, is_in = F.col("f"), F.col("callee").isNotNull()
+
+    def rows(x: DataFrame, m: Column, d1: Column, fact: Column) -> DataFrame:
+        return x.select(m.alias("m"), d1.alias("d1"), F.col("r").alias("n"), fact.alias("f"), F.col("r_end").alias("at_end"), F.col("r_calls").alias("at_call"))
 
     def returns(ends: DataFrame, callers: DataFrame) -> DataFrame:
-        e = ends.join(v.exits, ["m", "n"], "left_semi").select(F.col("m").alias("callee"), F.col("d1").alias("d3"), F.col("f").alias("d4"))
-        c = flows.call(callers.join(sites, "n")).withColumnRenamed("f", "d3")
-        x = e.join(c, ["callee", "d3"]).select("m", "d1", "n", "callee", "r", F.col("d4").alias("f"))
-        return with_zero(flows.back(x).select("m", "d1", F.col("r").alias("n"), "f"), x.select("m", "d1", F.col("r").alias("n"), "f"))
+        e = ends.where("at_end").select(F.col("m").alias("callee"), F.col("d1").alias("d3"), F.col("f").alias("d4"))
+        c = callers.where("at_call").select("m", "d1", "n", "f").join(sites, "n").withColumn("d3", strip(f, F.col("n")) if flows.strips_calls else f).drop("f")
+        x = e.join(c, ["callee", "d3"]).where((F.col("d4") == ZERO) | F.col("real")).withColumn("f", F.col("d4"))
+        # zero comes back through every site, other facts through real ones
+        x = flows.returned(x.select("m", "d1", "n", "callee", "r", "f", "r_end", "r_calls"))
+        return rows(x, F.col("m"), F.col("d1"), f)
 
     def step(delta: DataFrame, every: DataFrame) -> DataFrame:
-        on = delta.join(v.next, "n")
-        plain = flows.normal(on.join(v.call_nodes, "n", "left_anti")).select("m", "d1", F.col("r").alias("n"), "f")
-        c = on.join(v.call_nodes, "n", "left_semi").select("m", "d1", "n", "r", "f")
-        over = with_zero(flows.over(c).select("m", "d1", F.col("r").alias("n"), "f"), c.select("m", "d1", F.col("r").alias("n"), "f"))
-        k = delta.join(entered, "n").withColumn("_f", F.col("f"))
-        into = flows.call(k)
-        into = into.select(F.col("callee").alias("m"), F.col("f").alias("d1"), F.col("s").alias("n"), "f").unionByName(k.where(F.col("_f") == ZERO).select(F.col("callee").alias("m"), F.col("_f").alias("d1"), F.col("s").alias("n"), F.col("_f").alias("f")))
-        return plain.unionByName(over).unionByName(into).unionByName(returns(delta, every)).unionByName(returns(every, delta))
+        x = delta.select("m", "d1", "n", "f").join(moves, "n")
+        x = x.where((F.col("op") == KEEP) | (F.col("op") == STRIP) | ((F.col("op") == DROP) & (f == ZERO)) | ((F.col("op") == PUT) & (f == F.col("fin"))))
+        x = x.withColumn("f", F.when(F.col("op") == STRIP, strip(f, F.col("n"))).when(F.col("op") == PUT, F.col("fout")).otherwise(f))
+        out = rows(x, F.coalesce("callee", "m"), F.when(is_in, f).otherwise(F.col("d1")), f)
+        return out.unionByName(returns(delta, every)).unionByName(returns(every, delta)) if any_call else out
 
+    start = rows(marked(seeds.select("m", F.col("f").alias("d1"), F.col("n").alias("r"), "f")), F.col("m"), F.col("d1"), f)
     return fixpoint(start, step).select("n", "f").distinct()
 
 
+@dataclass
+class BottomUpPass:
+    """What a slice's first pass leaves: the views and criteria, all facts (n, f) with zero, and units with others (n)."""
+
+    forward: GraphView
+    sc: Criteria
+    facts: DataFrame
+    live: DataFrame
+
+
 @dataclass
 class Slice:
     bottom_up: DataFrame
@@ -194,29 +233,40 @@ def _one(spark: SparkSession, main: int) -> DataFrame:
     return spark.range(1).select(F.lit(main).cast("long").alias("m"))
 
 
+def bottom_up(cfg: DataFrame, units: DataFrame, calls: DataFrame, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> BottomUpPass:
+    """The first pass alone."""
+    sc = criteria(stage(sequences))
+    # the inputs are read in many places; what they are made of is not worked out again
+    fw = forward(stage(cfg), stage(units), stage(calls), sc).staged()
+    bw = backward(fw)
+    ends = fw.exits.join(_one(cfg.sparkSession, main), "m").withColumn("f", F.lit(ZERO))
+    bu = stage(solve(bw, ends, BottomUp(bw, sc, fw.callers, ext)))
+    return BottomUpPass(fw, sc, bu, stage(bu.where(F.col("f") != ZERO).select("n").distinct()))
+
+
 def slice_one_tail(cfg: DataFrame, units: DataFrame, calls: DataFrame, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> Slice:
     """Both passes for sequences (seq) that end at one unit: facts (n, f) of either pass, and the units (n) of the slice."""
     spark = cfg.sparkSession
-    sc = criteria(sequences)
-    fw = forward(cfg, units, calls, sc).staged()
-    bw = backward(fw).staged()
-    m = _one(spark, main)
-    ends = fw.exits.join(m, "m").withColumn("f", F.lit(ZERO))
-    bu = stage(solve(bw, ends, BottomUp(fw, sc, ext)))
-    live = stage(bu.where(F.col("f") != ZERO).select("n").distinct())
-    first = stage(fw.starts.join(m, "m"))
+    p = bottom_up(cfg, units, calls, sequences, main, ext)
+    fw, sc, bu = p.forward, p.sc, p.facts
+    first = stage(fw.starts.join(_one(spark, main), "m"))
     at = bu.join(first.select("n"), "n", "left_semi").select("f").distinct()
     if ext is None:
         begin = at.join(sc.sequences.select(F.col("seq").alias("f")), "f", "left_semi")
     else:
         begin = maximal(at.where(F.col("f") != ZERO), sc.sequences)
+    begin = stage(begin)
+    found = bu.where(F.col("f") != ZERO)
+    if begin.isEmpty():  # zero alone leads to no fact
+        none = spark.createDataFrame([], "n long, f string")
+        return Slice(found, none, none.select("n"))
     # the facts that main starts with are kept once: a few, and the same at each first unit
     begin = begin.unionByName(spark.range(1).select(F.lit(ZERO).alias("f"))).distinct()
     seeds = first.join(F.broadcast(begin) if begin.count() < 100_000 else begin, F.lit(True), "inner")
-    tdv = only(fw, live).staged()
-    td = stage(solve(tdv, seeds, TopDown(fw, sc, ext is not None)).where(F.col("f") != ZERO))
-    got = td.join(bu, ["n", "f"], "left_semi").select("n").unionByName(td.where(F.col("f") == EPSILON).join(live, "n", "left_semi").select("n")).distinct()
-    return Slice(stage(bu.where(F.col("f") != ZERO)), td, stage(got))
+    tdv = only(fw, p.live)
+    td = stage(solve(tdv, seeds, TopDown(tdv, sc, ext is not None)).where(F.col("f") != ZERO))
+    got = td.join(bu, ["n", "f"], "left_semi").select("n").unionByName(td.where(F.col("f") == EPSILON).join(p.live, "n", "left_semi").select("n")).distinct()
+    return Slice(found, td, stage(got))
 
 
 def maximal(facts: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def _seeded(spark, d):
 
 def bu_facts(spark, d):
     c, u, k, s = _seeded(spark, d)
-    return ifds.slice_one_tail(c, u, k, s.select("seq"), MAIN).bottom_up.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+    return ifds.bottom_up(c, u, k, s.select("seq"), MAIN).facts.where(F.col("f") != ifds.ZERO).select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
 
 
 def td_facts(spark, d):
@@ -166,7 +166,7 @@ def td_facts(spark, d):
 def bu_facts_intra(spark, d):
     """The backward facts where no call has a body: per method's own flow, of main."""
     c, u, k, s = _seeded(spark, d)
-    return ifds.slice_one_tail(c, u, k.limit(0), s.select("seq"), MAIN).bottom_up.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+    return ifds.bottom_up(c, u, k.limit(0), s.select("seq"), MAIN).facts.where(F.col("f") != ifds.ZERO).select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
 
 
 def slice_(spark, d):
