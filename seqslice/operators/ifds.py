@@ -176,8 +176,11 @@ class TopDown(Flows):
         return x.select("n", "r", op.alias("op"), *_no_facts())
 
 
-def solve(view: GraphView, seeds: DataFrame, flows: Flows) -> DataFrame:
-    """(n, f) from seeds (m, n, f): every fact that holds at a unit on some matched path, zero included."""
+def solve(view: GraphView, seeds: DataFrame, flows: Flows, hops: int = 3) -> DataFrame:
+    """(n, f) from seeds (m, n, f): every fact that holds at a unit on some matched path, zero included.
+
+    A round takes up to hops moves; the shuffle that each ends with is shared with the next, and rounds get fewer.
+    """
     end = view.exits.select(F.col("n").alias("r")).distinct().withColumn("r_end", F.lit(True))
     calls = view.calls.select(F.col("n").alias("r")).distinct().withColumn("r_calls", F.lit(True))
 
@@ -201,11 +204,17 @@ def solve(view: GraphView, seeds: DataFrame, flows: Flows) -> DataFrame:
         x = flows.returned(x.select("m", "d1", "n", "callee", "r", "f", "r_end", "r_calls"))
         return rows(x, F.col("m"), F.col("d1"), f)
 
-    def step(delta: DataFrame, every: DataFrame) -> DataFrame:
-        x = delta.select("m", "d1", "n", "f").join(moves, "n")
+    def moved(x: DataFrame) -> DataFrame:
+        x = x.select("m", "d1", "n", "f").join(moves, "n")
         x = x.where((F.col("op") == KEEP) | (F.col("op") == STRIP) | ((F.col("op") == DROP) & (f == ZERO)) | ((F.col("op") == PUT) & (f == F.col("fin"))))
         x = x.withColumn("f", F.when(F.col("op") == STRIP, strip(f, F.col("n"))).when(F.col("op") == PUT, F.col("fout")).otherwise(f))
-        out = rows(x, F.coalesce("callee", "m"), F.when(is_in, f).otherwise(F.col("d1")), f)
+        return rows(x, F.coalesce("callee", "m"), F.when(is_in, f).otherwise(F.col("d1")), f).distinct()
+
+    def step(delta: DataFrame, every: DataFrame) -> DataFrame:
+        out = x = moved(delta)
+        for _ in range(hops - 1):
+            x = moved(x)
+            out = out.unionByName(x)
         return out.unionByName(returns(delta, every)).unionByName(returns(every, delta)) if any_call else out
 
     start = rows(marked(seeds.select("m", F.col("f").alias("d1"), F.col("n").alias("r"), "f")), F.col("m"), F.col("d1"), f)
