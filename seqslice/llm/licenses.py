@@ -1,9 +1,10 @@
 """Operator 9, licence scans by a positional rare-token index. DataFrame functions only.
 
 The template texts' words and their positions form a small constant index. Document frequencies of its words are counted
-over all documents; words that are rare there are looked up. For each file its highest-IDF licence words are taken, their
-places minus the template's places are offsets, and a template's score is the largest IDF share that agrees on one
-offset; a label is given when that share is large enough and the template's mandatory key phrases stand in the text.
+over all documents. For each file its highest-IDF licence words are looked up, their places minus the template's places
+are offsets, and a template's score is the largest IDF share of its words that agrees on one offset; a label is given
+when that share is large enough and the template's mandatory key phrases stand in the text. Every template is scored with
+all of its words, however frequent they are: IDF orders the look-up and weighs words, and drops none.
 Base phrases are found word by word beside that and always labelled.
 
 Nulls: a null text is an empty one; empty texts get no labels, score 0 and null places. Ties between templates give both
@@ -58,7 +59,7 @@ def _has(t: Column, phrase: str) -> Column:
     return F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(f" {phrase} "))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, rare_share: float = 0.05, look_up: int = 12, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, look_up: int = 12, least: float = 0.6) -> DataFrame:
     """Per row of docs: doc_id, n_words, places (of base phrases), base (labels), found (labels of templates), score."""
     d = docs.select("doc_id", plain_words(F.col("text")).alias("t"))
     vocab = sorted({w for _, text, _ in templates for w in text.split(" ")})
@@ -67,33 +68,40 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare_share: float = 0.05, look_up
     df = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per template word
     n = max(1, docs.count())
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocab}
-    rare = sorted((w for w in vocab if df.get(w, 0) <= max(1, rare_share * n)), key=lambda w: (-idf[w], w))
+    order = sorted(vocab, key=lambda w: (-idf[w], w))
     d = d.withColumn("n_words", count_plain(F.col("t"))).withColumn("_w", F.split("t", " "))
     for k, (phrase, _) in enumerate(BASE):
         d = d.withColumn(f"_b{k}", _places(F.col("t"), F.col("_w"), phrase))
     words = F.col("_w")
     # the file's own highest-IDF licence words: the constant list stands in order of falling IDF
-    own = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rare]), words), 1, look_up) if rare else F.expr("CAST(array() AS array<string>)")
-    d = d.withColumn("_own", own)
+    d = d.withColumn("_own", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), words), 1, look_up))
     shares = []
     for label, text, keys in templates:
         post: dict[str, list[int]] = {}
         for p, w in enumerate(text.split(" ")):
-            if w in rare:
-                post.setdefault(w, []).append(p)
-        if not post:
-            continue
+            post.setdefault(w, []).append(p)
+        total = left = sum(idf[w] for w in post)
+        # an offset that scores enough agrees in one of these words, as the others together weigh too little
+        anchors = []
+        for w in (w for w in order if w in post):
+            if left < (least - 1e-9) * total:
+                break
+            anchors.append(w)
+            left -= idf[w]
 
         def offsets(w: str, ps: list[int]) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w)
-            return F.when(F.array_contains("_own", w), F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[i - p for p in ps]))))).otherwise(F.expr(NONE))
+            return F.when(F.array_contains("_own", w), F.flatten(F.transform(at, lambda i: F.array(*[i - p for p in ps])))).otherwise(F.expr(NONE))
 
-        total = sum(idf[w] for w in post)
-        every = F.array(*[F.struct(offsets(w, ps).alias("o"), F.lit(idf[w] / total).alias("v")) for w, ps in sorted(post.items())])
-        best = F.aggregate(F.array_distinct(F.flatten(F.transform(every, lambda e: e["o"]))), F.lit(0.0), lambda a, o: F.greatest(a, F.aggregate(every, F.lit(0.0), lambda s, e: s + F.when(F.array_contains(e["o"], o), e["v"]).otherwise(F.lit(0.0)))))
+        def share(o: Column) -> Column:
+            agrees = lambda w, ps: reduce(lambda a, b: a | b, [F.coalesce(F.get(words, o + p) == w, F.lit(False)) for p in ps])
+            return reduce(lambda a, b: a + b, [F.when(agrees(w, ps), F.lit(idf[w] / total)).otherwise(F.lit(0.0)) for w, ps in post.items()])
+
+        places = F.array_distinct(F.flatten(F.array(*[offsets(w, post[w]) for w in anchors])))
+        best = F.aggregate(places, F.lit(0.0), lambda a, o: F.greatest(a, share(o)))
         sure = reduce(lambda a, b: a & b, [_has(F.col("t"), k) for k in keys])
         shares.append(F.when(sure, F.struct(F.lit(label).alias("l"), best.alias("v"))))
-    found = F.filter(F.array(*shares), lambda x: x.isNotNull() & (x["v"] >= least)) if shares else F.expr("CAST(array() AS array<struct<l:string,v:double>>)")
+    found = F.filter(F.array(*shares), lambda x: x.isNotNull() & (x["v"] >= least))
     d = d.withColumn("_found", found)
     base = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(x)) for k, (_, x) in enumerate(BASE)]))
     places = F.concat(*[F.col(f"_b{k}") for k in range(len(BASE))])
