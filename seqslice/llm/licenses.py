@@ -1,10 +1,11 @@
 """Operator 9, licence scans by a positional rare-token index. DataFrame functions only.
 
 The template texts' words and their positions form a small constant index. Document frequencies of its words are counted
-over all documents. For each file its highest-IDF licence words are looked up, their places minus the template's places
-are offsets, and a template's score is the largest IDF share of its words that agrees on one offset; a label is given
-when that share is large enough and the template's mandatory key phrases stand in the text. Every template is scored with
-all of its words, however frequent they are: IDF orders the look-up and weighs words, and drops none.
+over all documents. In each file a template's highest-IDF words are looked up, as many as every offset that may score
+enough must agree with; their places minus the template's places are offsets, and a template's score is the largest IDF
+share of its words that agrees on one offset. A label is given when that share is large enough and the template's
+mandatory key phrases stand in the text. Every template is scored with all of its words, however frequent they are and
+whatever other notices the file holds: IDF orders the look-up and weighs words, and drops none.
 Base phrases are found word by word beside that and always labelled.
 
 Nulls: a null text is an empty one; empty texts get no labels, score 0 and null places. Ties between templates give both
@@ -59,7 +60,7 @@ def _has(t: Column, phrase: str) -> Column:
     return F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(f" {phrase} "))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, look_up: int = 12, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
     """Per row of docs: doc_id, n_words, places (of base phrases), base (labels), found (labels of templates), score."""
     d = docs.select("doc_id", plain_words(F.col("text")).alias("t"))
     vocab = sorted({w for _, text, _ in templates for w in text.split(" ")})
@@ -73,8 +74,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, look_up: int = 12, least: float =
     for k, (phrase, _) in enumerate(BASE):
         d = d.withColumn(f"_b{k}", _places(F.col("t"), F.col("_w"), phrase))
     words = F.col("_w")
-    # the file's own highest-IDF licence words: the constant list stands in order of falling IDF
-    d = d.withColumn("_own", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), words), 1, look_up))
     shares = []
     for label, text, keys in templates:
         post: dict[str, list[int]] = {}
@@ -91,7 +90,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, look_up: int = 12, least: float =
 
         def offsets(w: str, ps: list[int]) -> Column:
             at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w)
-            return F.when(F.array_contains("_own", w), F.flatten(F.transform(at, lambda i: F.array(*[i - p for p in ps])))).otherwise(F.expr(NONE))
+            return F.flatten(F.transform(at, lambda i: F.array(*[i - p for p in ps])))
 
         def share(o: Column) -> Column:
             agrees = lambda w, ps: reduce(lambda a, b: a | b, [F.coalesce(F.get(words, o + p) == w, F.lit(False)) for p in ps])

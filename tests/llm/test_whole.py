@@ -44,3 +44,13 @@ def test_common_licences(spark):
     many = [(label, f"a{i} {text} b") for i in range(20) for label, text in NOTICE.items()]
     for rows in (many, [("mit", f"a{i} {NOTICE['mit']} b") for i in range(2)]):
         assert scanned(spark, [t for _, t in rows]) == [[label] for label, _ in rows]
+
+
+def test_several_licences(spark):
+    """All notices of a text are found, however many others stand in it; a cut notice is scored like the brute force."""
+    texts = [" then ".join(NOTICE[k] for k in ks) for ks in (("mit", "bsd"), ("apache-2.0", "mit"), ("bsd", "apache-2.0", "mit"))]
+    every = " and ".join(t for _, t, _ in licenses.TEMPLATES)
+    cut = NOTICE["mit"].split(" obtaining")[0]
+    got = scanned(spark, [*texts, every, cut, None, "the work " * 500 + NOTICE["bsd"]])
+    assert got[:3] == [["bsd", "mit"], ["apache-2.0", "mit"], ["apache-2.0", "bsd", "mit"]]
+    assert got[3] == sorted({x for x, _, _ in licenses.TEMPLATES}) and got[6] == ["bsd"]
