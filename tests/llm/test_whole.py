@@ -1,8 +1,9 @@
 """Inputs on which operators once did less than the whole job, against plain Python."""
 
 import math
+from collections import Counter
 
-from seqslice.llm import licenses
+from seqslice.llm import jaccard, licenses
 
 from . import brute as B
 
@@ -54,3 +55,40 @@ def test_several_licences(spark):
     got = scanned(spark, [*texts, every, cut, None, "the work " * 500 + NOTICE["bsd"]])
     assert got[:3] == [["bsd", "mit"], ["apache-2.0", "mit"], ["apache-2.0", "bsd", "mit"]]
     assert got[3] == sorted({x for x, _, _ in licenses.TEMPLATES}) and got[6] == ["bsd"]
+
+
+def kept_rows(rows):
+    """Of rows (doc_id, text, ...): for each group of linked rows, the set of (doc_id, text) of which one may stay; and the unlinked ones."""
+    at = {i: r for i, r in enumerate(rows)}
+    groups, alone = {}, []
+    for i, n, root in B.op6([dict(doc_id=i, text=r[1]) for i, r in at.items()]):
+        if n:
+            groups.setdefault(root, []).append(at[i][:2])
+        else:
+            alone.append(at[i][:2])
+    least = lambda g: min((d is None, d or 0) for d, _ in g)
+    return [{x for x in g if (x[0] is None, x[0] or 0) == least(g)} for g in groups.values()], alone
+
+
+def held_against(got, rows):
+    """got: the (doc_id, text) that keep_one left of rows."""
+    groups, alone = kept_rows(rows)
+    assert Counter(x for x in got if not B.space(x[1])) == Counter(alone)
+    got = [x for x in got if B.space(x[1])]
+    assert len(got) == len(groups)
+    assert all(sum(x in g for x in got) == 1 for g in groups)
+
+
+def copies():
+    """Rows of DOCS: linked and unlinked texts under null, repeated and own doc_ids, empty texts and repeated rows."""
+    long = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    x = [(None, long("a")), (None, long("b")), (None, long("b") + " end"), (None, ""), (None, None), (None, None), (1, long("c")), (1, long("d")), (1, ""), (1, None)]
+    x += [(2, long("d") + " end"), (0, long("e")), (2, long("e") + " end"), (2, long("f")), (3, long("f")), (3, long("f")), (None, long("f")), (4, long("g")), (4, long("g"))]
+    x += [(5, long("h")), (5, long("h") + " end"), (6, " \n"), (7, "one two"), (8, "One two")]
+    return [(*r, ("zz", None, "yy")[i % 3], "x") for i, r in enumerate(x)]
+
+
+def test_keep_one(spark):
+    """Rows go only with their own group, whatever doc_ids they share."""
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(copies(), DOCS)).collect()]
+    held_against(got, copies())
