@@ -3,7 +3,7 @@
 import math
 from collections import Counter
 
-from seqslice.llm import jaccard, licenses
+from seqslice.llm import decontam, jaccard, licenses
 
 from . import brute as B
 
@@ -92,3 +92,12 @@ def test_keep_one(spark):
     """Rows go only with their own group, whatever doc_ids they share."""
     got = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(copies(), DOCS)).collect()]
     held_against(got, copies())
+
+
+def test_clean_documents(spark):
+    """The rows that stay are those that the brute force calls clean, whatever doc_ids they share."""
+    items = [dict(item_id=1, text=copies()[1][1]), dict(item_id=2, text="one two"), dict(item_id=3, text=None)]
+    bench = spark.createDataFrame([(b["item_id"], b["text"]) for b in items], "item_id long, text string")
+    bad = [r[-1] for r in B.op7([dict(doc_id=r[0], text=r[1]) for r in copies()], items)]
+    got = decontam.clean_documents(spark.createDataFrame(copies(), DOCS), bench).collect()
+    assert any(bad) and Counter(tuple(r) for r in got) == Counter(r for r, b in zip(copies(), bad) if not b)
