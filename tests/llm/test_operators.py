@@ -40,8 +40,25 @@ def test_pii(docs):
 
 
 def test_exact_dedup(docs):
-    for hot in (1000, 1):
-        same(exact_dedup.cut(docs, exact_dedup.removals(docs, hot=hot)).drop("kept"), B.op3(dicts()))
+    for how in ({}, {"hot": 1}, {"hot": 1, "crowd": 1}):
+        same(exact_dedup.cut(docs, exact_dedup.removals(docs, **how)).drop("kept"), B.op3(dicts()))
+
+
+def test_exact_dedup_of_hot_passages(spark):
+    """Near copies of one passage, periodic texts and a passage at odd places, through every way of splitting."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    core = text(120)
+    x = [text(r.randint(0, 30)) + core + text(r.randint(0, 30)) for _ in range(30)]
+    x += [core[:300] + text(3) + core[300:] for _ in range(10)] + ["z" * 3000, "z" * 900 + core, "yz" * 700, "zy" * 500 + "z" * 500, core[7:450]]
+    rows = [dict(doc_id=i, text=t) for i, t in enumerate(x)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(x)], "doc_id long, text string")
+    assert len(exact_dedup.anchors(b"z" * 100_000)) == 1
+    for how in ({}, {"hot": 1}, {"hot": 1, "crowd": 3}):
+        same(exact_dedup.cut(d, exact_dedup.removals(d, **how)).drop("kept"), B.op3(rows))
 
 
 def test_jaccard(docs):
