@@ -148,7 +148,7 @@ def repeated(t, need: int):
     if n < need:
         return out
     s = np.append(t + 1, 0)
-    sa = suffix_array(s, depth=need + 1)
+    sa = suffix_array(s, depth=n + 1)  # common prefixes need the whole order
     phi = np.full(n + 1, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     i = np.arange(n + 1)
