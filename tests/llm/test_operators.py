@@ -84,15 +84,43 @@ def test_licenses(docs):
     same(d, B.op9(dicts()))
 
 
-def test_mixing(docs):
-    d = mixing.mix(docs).select("doc_id", "source", "_mix.*").collect()
+@pytest.mark.parametrize("how", [{}, {"shard_words": 3000}, {"shard_words": 500, "leaves": 8}, {"most_blocks": 3}])
+def test_mixing(docs, how):
+    d = mixing.mix(docs, **how).select("doc_id", "source", "_mix.*").collect()
     size, target = B.op5_targets(dicts())
     taken = {s: 0 for s in size}
     for r in d:
         t = sum(x["words"] for x in r["draws"])
         assert t <= 2 * r["size"] and r["source_size"] == size[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6
+        assert len({x["pass"] for x in r["draws"]}) == len(r["draws"])
         taken[r["source"]] += t
     assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    in_shards: dict = {}
+    for x in (x for r in d for x in r["draws"]):
+        in_shards[x["shard"]] = in_shards.get(x["shard"], 0) + x["words"]
+    n = max(1, -(-sum(round(t) for t in target.values()) // how.get("shard_words", 4_000_000)))
+    assert set(in_shards) <= set(range(n)) and len(in_shards) >= min(n, 3)
+
+
+def test_splitting_tree():
+    q = [1000, 0, 37, 1]
+    t = mixing.splitting_tree(q, 6, 7)
+    assert [sum(n for _, n in x) for x in t] == q and t == mixing.splitting_tree(q, 6, 7)
+    every = [sum(n for x in t for k, n in x if k == s) for s in range(6)]
+    assert sum(every) == 1038 and max(every) - min(every) <= 2
+
+
+def test_mixed_documents(spark, docs):
+    """Reruns agree; the rows are the draws' words; clashing names stay; the sources' words are the targets."""
+    x = docs.withColumnsRenamed({"extra": "size"}).selectExpr("*", "1 AS hash", "2 AS block", "3 AS _size", "4 AS _before", "5 AS sid", "6 AS plan", "length(text) AS n_chars")
+    one, two = (sorted(map(str, mixing.mixed_documents(x, shard_words=3000).collect())) for _ in range(2))
+    assert one == two and mixing.mixed_documents(x).columns == x.columns
+    got: dict = {}
+    for r in mixing.mixed_documents(x, shard_words=3000).collect():
+        assert r.n_chars == len(r.text) and (r.hash, r.block, r["_size"], r["_before"], r.sid, r.plan, r["size"]) == (1, 2, 3, 4, 5, 6, "x")
+        got[r.source] = got.get(r.source, 0) + len(B.space(r.text))
+    _, target = B.op5_targets(dicts())
+    assert all(abs(got.get(s, 0) - t) <= 1 for s, t in target.items())
 
 
 def test_tokens(spark, docs, tmp_path):
