@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stage, table
 
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns, written so that no start inside a run that was already tried is tried again (linear time).
 EMAIL = rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,35 +27,58 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Further candidates: obfuscated mail addresses, phone numbers without a country code, account and insurance numbers.
+#: Further candidates: obfuscated mail addresses, phone numbers without a country code, account and insurance numbers, and
+#: long runs with a digit that may be keys, tokens or passwords.
 MORE = [
     ("email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}+"),
     ("phone", r"(?<![0-9.+()-])(?<![+0-9() -][ -])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])(?![-.][0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("secret", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,80}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}+"),
 ]
 # Gazetteers and context words.
 DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|nl|ch|at|us|ca|au|jp|in|br|mx|pl|se|no|dk|fi"
 CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-9][0-9]|3[578][0-9]|42[013]|[5689][0-9]{2}"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35"
 BANKS = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK|TR"
-FOR = r"(?i)\b(?:e-?mail|mail|contact|write|phone|tel|telephone|mobile|call|fax|card|visa|credit|ip|address|host|iban|account|konto|ssn|social security|name|reach)\b"
+INVALID = "078-05-1120|219-09-9999|457-55-5462"  # numbers that were published as examples
+KEYS = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|AIza|ya29|eyJ|npm_|hf_|SG-|dop_v1_"
+FOR = r"(?i)\b(?:e-?mail|mail|contact|write|phone|tel|telephone|mobile|call|fax|card|visa|credit|ip|address|host|iban|account|konto|ssn|social security|name|reach|(?:[a-z0-9]+[_-])*(?:token|secret|key|apikey|passw(?:or)?d|pwd|credentials?|bearer|auth))\b"
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|order|invoice|item|part|model|section|figure|table|page)\b"
 
 
+def _scan(arr: Column, state: Column, kind: str, step) -> Column:
+    """What step(state, x) -> (state, array of items) gives along arr, as one array<kind>. Long arrays go in blocks of about
+    the root of their length, as each appended item copies what stands before it."""
+    none, nones = F.expr(f"CAST(array() AS array<{kind}>)"), F.expr(f"CAST(array() AS array<array<{kind}>>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        st, items = step(acc["st"], x)
+        return F.struct(st.alias("st"), F.concat(acc["a"], items).alias("a"))
+
+    def block(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(arr, k * each + 1, each), F.struct(acc["st"].alias("st"), none.alias("a")), one)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["st"].alias("st"), F.concat(acc["a"], F.array(r["a"])).alias("a"))), F.lit(0))
+
+    n = F.size(arr)
+    each = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    short = F.aggregate(arr, F.struct(state.alias("st"), none.alias("a")), one, lambda acc: acc["a"])
+    long = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / each).cast("int")), F.struct(state.alias("st"), nones.alias("a")), block, lambda acc: F.flatten(acc["a"]))
+    return F.when(n <= 64, short).otherwise(long)
+
+
 def _positions(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of a pattern's matches; the text is only cut where there are any."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("a"))
+    spec = "struct<s:int,e:int,m:string>"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["gap"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["a"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("a"))
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
 
     pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["a"])).otherwise(none)
+    return F.when(F.size(found) > 0, _scan(pairs, F.lit(0), spec, step)).otherwise(F.expr(f"CAST(array() AS array<{spec}>)"))
 
 
 def _digits(m: Column) -> Column:
@@ -85,6 +108,8 @@ def _strict(kind: str, m: Column, base: bool) -> Column:
         return F.length(_digits(m)).between(8, 15) if base else ~_digits(m).rlike(r"\A([0-9])\1*\z")
     if kind == "ssn":
         return ~m.rlike(r"\A(?:000|666|9[0-9]{2})|-00-|-0000\z")
+    if kind == "secret":  # letters and digits mixed, and not one run of each
+        return m.rlike(r"[0-9][A-Za-z_+/-]+[0-9]") & m.rlike(r"[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 8)
     return F.length(F.regexp_replace(m, " ", "")).between(15, 34)
 
 
@@ -99,7 +124,9 @@ def _gazetteer(kind: str, m: Column) -> Column:
         return m.rlike(rf"\A\+(?:{CALLING})|\A\(?[2-9][0-9]{{2}}\)?[-. ]+[2-9]")
     if kind == "iban":
         return m.rlike(rf"\A(?:{BANKS})")
-    return F.lit(True)
+    if kind == "secret":
+        return m.rlike(rf"\A(?:{KEYS})|\A(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}})\z")
+    return ~m.rlike(rf"\A(?:{INVALID})\z")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -187,7 +214,7 @@ def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     """Per row of docs: doc_id, base and spans, arrays of (kind, s, e) ordered by kind and start. sure: what an added span must score."""
     c = stage(candidates(docs), "pii-candidates")
     x = c.select(F.explode("c").alias("x")).groupBy("x.kind", *[f"x.{v}" for v in VOTES], "x.long").agg(F.count("*").alias("n"))
-    patterns = sorted(tuple(r) for r in x.collect())  # at most 6 kinds x 3^4 votes x 4 lengths
+    patterns = sorted(tuple(r) for r in x.collect())  # at most 7 kinds x 3^4 votes x 4 lengths
     bias, w = span_classifier(patterns, reliabilities(patterns))
 
     def score(x: Column) -> Column:
@@ -197,13 +224,21 @@ def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
             z = z + F.when(x[name] == int(value), F.lit(v)).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-z))
 
+    span = "struct<kind:int,s:int,e:int>"
+    mark = "struct<s:int,o:int,kind:int,e:int>"
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["s"], x["e"]))
+    marked = lambda a, o: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["kind"].alias("kind"), x["e"].alias("e")))
     c = c.withColumn("base", F.array_sort(plain(F.filter("c", lambda x: x["base"]))))
-    good = F.filter("c", lambda x: ~x["base"] & (x["strict"] > 0) & (score(x) >= sure) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    c = c.withColumn("more", F.array_sort(F.transform(good, lambda x: F.struct(x["s"], x["kind"], x["e"]))))
-    none = F.expr("CAST(array() AS array<struct<kind:int,s:int,e:int>>)")
-    one = F.aggregate("more", none, lambda a, x: F.when(F.exists(a, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), a).otherwise(F.concat(a, F.array(F.struct(x["kind"], x["s"], x["e"])))))
-    return c.select("doc_id", "base", F.array_sort(F.concat("base", one)).alias("spans"))
+    c = c.withColumn("more", F.filter("c", lambda x: ~x["base"] & (score(x) >= sure)))
+    # candidates that overlap no base span: seen from the left by the base's largest end, from the right by its next start
+    both = F.array_sort(F.concat(marked(F.col("base"), 0), marked(F.col("more"), 1)))
+    if_ = lambda yes, x, kind: F.when(yes, F.array(x)).otherwise(F.expr(f"CAST(array() AS array<{kind}>)"))
+    is_base = lambda x: x["o"] == 0
+    left = _scan(both, F.lit(0), mark, lambda st, x: (F.when(is_base(x), F.greatest(st, x["e"])).otherwise(st), if_(is_base(x) | (st <= x["s"]), x, mark)))
+    c = c.withColumn("free", F.when(F.size("more") > 0, F.reverse(left)))
+    c = c.withColumn("free", _scan(F.col("free"), F.lit(2**31 - 1), mark, lambda st, x: (F.when(is_base(x), x["s"]).otherwise(st), if_(~is_base(x) & (st >= x["e"]), x, mark))))
+    one = _scan(F.array_sort("free"), F.lit(0), span, lambda st, x: (F.when(st <= x["s"], x["e"]).otherwise(st), if_(st <= x["s"], F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")), span)))
+    return c.select("doc_id", "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", one))).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: str) -> Column:

@@ -101,3 +101,50 @@ def test_clean_documents(spark):
     bad = [r[-1] for r in B.op7([dict(doc_id=r[0], text=r[1]) for r in copies()], items)]
     got = decontam.clean_documents(spark.createDataFrame(copies(), DOCS), bench).collect()
     assert any(bad) and Counter(tuple(r) for r in got) == Counter(r for r, b in zip(copies(), bad) if not b)
+
+
+def test_pii_spans(spark):
+    """All base spans stay, added ones overlap nothing, and every planted token is found, in long texts as well."""
+    import re
+
+    from seqslice.llm import pii
+
+    x = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    many = " ".join(f"a{i}@b.com, token = {'a1f3' * 5}{i:08x}" for i in range(3000))
+    x += [(-1, many), (-2, None), (-3, ""), (-4, "078-05-1120 mail (555) 123-4567x"), (-5, "token = a1b2c3@d4e5f6.com0123456789abcdef0123")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(x, "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in x:
+        base, spans = [tuple(v) for v in got[i].base], [tuple(v) for v in got[i].spans]
+        assert [(pii.KINDS[k], s, e) for k, s, e in base] == sorted(B.op2_base(t), key=lambda v: (pii.KINDS.index(v[0]), v[1]))
+        assert set(base) <= set(spans) and spans == sorted(spans)
+        more = sorted(set(spans) - set(base), key=lambda v: v[1])
+        assert all(a[2] <= b[1] for a, b in zip(more, more[1:]))
+        assert i == -1 or not any(a[1] < b[2] and b[1] < a[2] for a in more for b in base)
+        if i > 0:
+            tokens = [(6, m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")]
+            found += len(tokens)
+            assert set(tokens) <= set(spans)
+    assert found > 5 and sum(k == 0 for k, _, _ in got[-1].base) == 3000 and sum(k == 6 for k, _, _ in got[-1].spans) == 3000
+
+
+def test_reliabilities():
+    """Expectation-maximisation tells labelers of different reliability apart, and the classifier follows it."""
+    import random
+
+    from seqslice.llm import pii
+
+    r, rows, truth = random.Random(2), Counter(), {}
+    right = (0.95, 0.9, 0.7, 0.55)
+    for _ in range(20000):
+        y = r.random() < 0.3
+        votes = tuple((1 if (r.random() < q) == y else -1) for q in right)
+        rows[(0, *votes, 1)] += 1
+        truth.setdefault((0, *votes, 1), []).append(y)
+    patterns = [(*k, n) for k, n in sorted(rows.items())]
+    post = pii.reliabilities(patterns)
+    share = {k: sum(v) / len(v) for k, v in truth.items()}
+    assert sum(abs(post[k] - share[k]) * len(v) for k, v in truth.items()) / 20000 < 0.05
+    bias, w = pii.span_classifier(patterns, post)
+    score = {k: 1 / (1 + math.exp(-bias - sum(w[f] for f in pii._features(k)))) for k in post}
+    assert sum((score[k] > 0.5) == y for k, v in truth.items() for y in v) > 0.93 * 20000
