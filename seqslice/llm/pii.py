@@ -1,7 +1,7 @@
 """Operator 2, personal data by weak supervision. DataFrame functions only.
 
 Patterns propose candidate spans; four labelers (a strict pattern check, gazetteers, context words before the span, and the
-characters around it) vote yes, no or nothing on each. Votes are counted per pattern of votes over all candidates of all
+characters around it) vote yes, no or nothing on each. Votes are counted per pattern of votes over all
 documents (a few hundred rows at most, whatever the input), expectation-maximisation estimates each labeler's reliability
 from them, and a logistic span classifier is trained on the estimated labels and compiled into a Column. Candidates that
 pass it are added to the base spans, which are found by fixed patterns and always stay.
@@ -56,29 +56,41 @@ def _scan(arr: Column, state: Column, kind: str, step) -> Column:
         st, items = step(acc["st"], x)
         return F.struct(st.alias("st"), F.concat(acc["a"], items).alias("a"))
 
-    def block(acc: Column, k: Column) -> Column:
-        inner = F.aggregate(F.slice(arr, k * each + 1, each), F.struct(acc["st"].alias("st"), none.alias("a")), one)
-        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["st"].alias("st"), F.concat(acc["a"], F.array(r["a"])).alias("a"))), F.lit(0))
+    def over(a: Column, each: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(a, k * each + 1, each), F.struct(acc["st"].alias("st"), none.alias("a")), one)
+            return _let(inner, lambda r: F.struct(r["st"].alias("st"), F.concat(acc["a"], F.array(r["a"])).alias("a")))
 
-    n = F.size(arr)
-    each = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    short = F.aggregate(arr, F.struct(state.alias("st"), none.alias("a")), one, lambda acc: acc["a"])
-    long = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / each).cast("int")), F.struct(state.alias("st"), nones.alias("a")), block, lambda acc: F.flatten(acc["a"]))
-    return F.when(n <= 64, short).otherwise(long)
+        short = F.aggregate(a, F.struct(state.alias("st"), none.alias("a")), one, lambda acc: acc["a"])
+        long = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / each).cast("int")), F.struct(state.alias("st"), nones.alias("a")), block, lambda acc: F.flatten(acc["a"]))
+        return F.when(F.size(a) <= 64, short).otherwise(long)
+
+    return _let(arr, lambda a: _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda each: over(a, each)))
+
+
+def _let(x: Column, of) -> Column:
+    """of(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+MATCHES = "struct<s:int,e:int,m:string,ahead:string,next:string>"
 
 
 def _positions(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) of a pattern's matches; the text is only cut where there are any."""
+    """Array of a pattern's matches: start, end, match, up to 32 characters before it (and after the match before), and the
+    character behind it. The text is only cut where there are any, and never searched for a position again."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spec = "struct<s:int,e:int,m:string>"
+    cut = F.split(text, pattern, -1)
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         s = at + F.length(x["gap"])
         e = s + F.length(x["m"])
-        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
+        ahead = F.substring(x["gap"], F.greatest(F.length(x["gap"]) - 31, F.lit(1)), F.lit(32))
+        return e, F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), ahead.alias("ahead"), F.substring(x["behind"], F.lit(1), F.lit(1)).alias("next")))
 
-    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    return F.when(F.size(found) > 0, _scan(pairs, F.lit(0), spec, step)).otherwise(F.expr(f"CAST(array() AS array<{spec}>)"))
+    n = F.size(found)
+    pairs = F.arrays_zip(found.alias("m"), F.slice(cut, F.lit(1), n).alias("gap"), F.slice(cut, F.lit(2), n).alias("behind"))
+    return F.when(n > 0, _scan(pairs, F.lit(0), MATCHES, step)).otherwise(F.expr(f"CAST(array() AS array<{MATCHES}>)"))
 
 
 def _digits(m: Column) -> Column:
@@ -130,7 +142,9 @@ def _gazetteer(kind: str, m: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, c: array of candidates (kind as index of KINDS, s, e, base, strict, gazetteer, context, edge, long)."""
+    """Per row of docs: doc_id, c: array of candidates (kind as index of KINDS, s, e, base, open, strict, gazetteer,
+    context, edge, long). base: a base span; open: of a further pattern, so that the classifier may add it. Matches of a base
+    pattern that fail its check are neither: they vote, and are dropped."""
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
     t = F.col("t")
     base = [("email", EMAIL, F.contains(t, F.lit("@"))), ("ip", IP, F.lit(True)), ("card", CARD, F.lit(True)), ("phone", PHONE, F.contains(t, F.lit("+")))]
@@ -138,11 +152,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     vote = lambda yes: F.when(yes, F.lit(1)).otherwise(F.lit(-1))
     def labeler(kind: str, is_base: bool):
         def label(x: Column) -> Column:
-            ahead = F.substring(t, F.greatest(x["s"] - 31, F.lit(1)), F.least(x["s"], F.lit(32)))
-            around = F.concat(F.substring(t, F.greatest(x["s"], F.lit(1)), F.least(x["s"], F.lit(1))), F.lit(" "), F.substring(t, x["e"] + 1, F.lit(1)))
-            context = F.when(ahead.rlike(AGAINST), F.lit(-1)).when(ahead.rlike(FOR), F.lit(1)).otherwise(F.lit(0))
+            around = F.concat(F.right(x["ahead"], F.lit(1)), F.lit(" "), x["next"])
+            context = F.when(x["ahead"].rlike(AGAINST), F.lit(-1)).when(x["ahead"].rlike(FOR), F.lit(1)).otherwise(F.lit(0))
             strict = _strict(kind, x["m"], is_base)
-            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (F.lit(is_base) & strict).alias("base"), vote(strict).alias("strict"), vote(_gazetteer(kind, x["m"])).alias("gazetteer"), context.alias("context"), vote(~around.rlike(r"[\p{L}\p{N}_]")).alias("edge"), F.least(F.length(x["m"]) / 8, F.lit(3)).cast("int").alias("long"))
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), (F.lit(is_base) & strict).alias("base"), F.lit(not is_base).alias("open"), vote(strict).alias("strict"), vote(_gazetteer(kind, x["m"])).alias("gazetteer"), context.alias("context"), vote(~around.rlike(r"[\p{L}\p{N}_]")).alias("edge"), F.least(F.length(x["m"]) / 8, F.lit(3)).cast("int").alias("long"))
 
         return label
 
@@ -150,23 +163,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     for i, (kind, pattern, is_base, guard) in enumerate(every):
         at = _positions(t, pattern)
         if guard is not None and is_base:
-            at = F.when(guard, at).otherwise(F.expr("CAST(array() AS array<struct<s:int,e:int,m:string>>)"))
+            at = F.when(guard, at).otherwise(F.expr(f"CAST(array() AS array<{MATCHES}>)"))
         d = d.withColumn(f"_p{i}", at)
         names.append((f"_p{i}", labeler(kind, is_base)))
     return d.select("doc_id", F.concat(*[F.transform(n, f) for n, f in names]).alias("c"))
 
 
-VOTES = ["strict", "gazetteer", "context", "edge"]
+#: The labelers, and how often each is held to be right before any vote is counted.
+VOTES = {"strict": 0.95, "gazetteer": 0.8, "context": 0.8, "edge": 0.7}
 
 
-def reliabilities(patterns: list[tuple], rounds: int = 50) -> dict[tuple, float]:
+def reliabilities(patterns: list[tuple], rounds: int = 50, belief: float = 0.5) -> dict[tuple, float]:
     """P(personal) of each vote pattern (kind, votes..., long, count) by expectation-maximisation over the labelers.
 
-    Every labeler has a probability of each vote in either class, shared by all kinds; every kind has its own prior.
-    Counts are smoothed by one, the labelers start out right in 3 of 4 cases.
+    Every labeler has a probability of each vote in either class, shared by all kinds; every kind has its own prior. The
+    beliefs of VOTES weigh as much as ``belief`` of the counted votes, so that a corpus full of one pattern cannot turn
+    the classes round; priors are smoothed by one.
     """
-    m = len(VOTES)
-    like = [[{v: (0.65 if (v > 0) == bool(c) else 0.15) if v else 0.2 for v in (-1, 0, 1)} for _ in range(m)] for c in (0, 1)]
+    m, right = len(VOTES), list(VOTES.values())
+    before = [[{1: 0.8 * (r if c else 1 - r), -1: 0.8 * (1 - r if c else r), 0: 0.2} for r in right] for c in (0, 1)]
+    like, weight = before, belief * sum(p[-1] for p in patterns)
     prior = {p[0]: 0.5 for p in patterns}
     post: dict[tuple, float] = {}
     for _ in range(rounds):
@@ -178,12 +194,15 @@ def reliabilities(patterns: list[tuple], rounds: int = 50) -> dict[tuple, float]
         for k in prior:
             own = [p for p in patterns if p[0] == k]
             prior[k] = (1 + sum(p[-1] * post[p[:-1]] for p in own)) / (2 + sum(p[-1] for p in own))
-        for j in range(m):
-            for c in (0, 1):
-                mass = {v: 1.0 + 2.0 * (bool(v > 0) == bool(c)) for v in (-1, 0, 1)}
+        like = []
+        for c in (0, 1):
+            of_class = []
+            for j in range(m):
+                mass = {v: 0.01 + weight * before[c][j][v] for v in (-1, 0, 1)}
                 for p in patterns:
                     mass[p[1 + j]] += p[-1] * (post[p[:-1]] if c else 1 - post[p[:-1]])
-                like[c][j] = {v: x / sum(mass.values()) for v, x in mass.items()}
+                of_class.append({v: x / sum(mass.values()) for v, x in mass.items()})
+            like.append(of_class)
     return post
 
 
@@ -213,7 +232,9 @@ def span_classifier(patterns: list[tuple], post: dict[tuple, float], steps: int
 def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     """Per row of docs: doc_id, base and spans, arrays of (kind, s, e) ordered by kind and start. sure: what an added span must score."""
     c = stage(candidates(docs), "pii-candidates")
-    x = c.select(F.explode("c").alias("x")).groupBy("x.kind", *[f"x.{v}" for v in VOTES], "x.long").agg(F.count("*").alias("n"))
+    # a pattern counts once a document, however often it stands there
+    seen = F.array_distinct(F.transform("c", lambda x: F.struct(x["kind"].alias("kind"), *[x[v].alias(v) for v in VOTES], x["long"].alias("long"))))
+    x = c.select(F.explode(seen).alias("x")).select("x.*").groupBy("kind", *VOTES, "long").agg(F.count("*").alias("n"))
     patterns = sorted(tuple(r) for r in x.collect())  # at most 7 kinds x 3^4 votes x 4 lengths
     bias, w = span_classifier(patterns, reliabilities(patterns))
 
@@ -229,7 +250,7 @@ def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"], x["s"], x["e"]))
     marked = lambda a, o: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), x["kind"].alias("kind"), x["e"].alias("e")))
     c = c.withColumn("base", F.array_sort(plain(F.filter("c", lambda x: x["base"]))))
-    c = c.withColumn("more", F.filter("c", lambda x: ~x["base"] & (score(x) >= sure)))
+    c = c.withColumn("more", F.filter("c", lambda x: x["open"] & (score(x) >= sure)))
     # candidates that overlap no base span: seen from the left by the base's largest end, from the right by its next start
     both = F.array_sort(F.concat(marked(F.col("base"), 0), marked(F.col("more"), 1)))
     if_ = lambda yes, x, kind: F.when(yes, F.array(x)).otherwise(F.expr(f"CAST(array() AS array<{kind}>)"))

@@ -110,7 +110,7 @@ def test_pii_spans(spark):
     from seqslice.llm import pii
 
     x = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
-    many = " ".join(f"a{i}@b.com, token = {'a1f3' * 5}{i:08x}" for i in range(3000))
+    many = " ".join(f"a{i}@b.com, token = {'a1f3c2e7b9d4' * 2}{i:08x}" for i in range(5000))
     x += [(-1, many), (-2, None), (-3, ""), (-4, "078-05-1120 mail (555) 123-4567x"), (-5, "token = a1b2c3@d4e5f6.com0123456789abcdef0123")]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(x, "doc_id long, text string")).collect()}
     found = 0
@@ -125,7 +125,7 @@ def test_pii_spans(spark):
             tokens = [(6, m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")]
             found += len(tokens)
             assert set(tokens) <= set(spans)
-    assert found > 5 and sum(k == 0 for k, _, _ in got[-1].base) == 3000 and sum(k == 6 for k, _, _ in got[-1].spans) == 3000
+    assert found > 5 and sum(k == 0 for k, _, _ in got[-1].base) == 5000 and sum(k == 6 for k, _, _ in got[-1].spans) == 5000
 
 
 def test_reliabilities():
