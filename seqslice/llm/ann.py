@@ -3,8 +3,9 @@
 Equal vectors are one node, which keeps the smallest ids of its rows (k + 1 of them: more cannot be among a query's k
 nearest, as ties go to smaller ids). Nodes are dealt to shards of about ``shard_size`` by hash; a shard's graph is grown in
 batches: greedy searches over what stands already propose neighbours, relaxed distance pruning (alpha) keeps diverse
-edges, reverse edges are pruned alike. A query is a beam search in every shard; the shards' answers are merged and scored
-in double precision on the original vectors.
+edges, reverse edges are pruned alike. A query is a beam search in every shard: a shard's index goes to one task for every
+``per_task`` queries, which stream past it. The shards' answers are merged and scored in double precision on the original
+vectors (scaled by powers of two, which is exact, so that very large and very small components have a cosine too).
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do null ids. Vectors of other
 dimensions are other shards. An id that occurs twice is two candidates, and never a neighbour of its own query. An empty
@@ -113,6 +114,13 @@ def build(x, degree: int = 32, beam: int = 64, alpha: float = 1.1, batch: int =
     return graph, entry
 
 
+def scaled(v):
+    """Rows of v times the power of two that brings their largest component to about one."""
+    import numpy as np
+
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     good = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
@@ -135,6 +143,7 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 8192, **how) -
 
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
         v = np.array(pdf["v"].tolist(), np.float64)
+        v = scaled(v)
         unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
         ids = np.array([[*x, *[-1] * (k + 1 - len(x))] for x in pdf["ids"]], np.int64)
         have = np.array([len(x) for x in pdf["ids"]], np.int64)
@@ -142,51 +151,61 @@ def build_index(vectors: DataFrame, k: int = 5, shard_size: int = 8192, **how) -
         blob = np.concatenate([have[:, None], ids], 1).tobytes()
         return pd.DataFrame([[int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(v), blob, v.tobytes(), graph.tobytes(), entry]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    return stage(nodes.groupBy("dim", "shard").applyInPandas(grow, INDEX), "ann-index")
+    return stage(nodes.groupBy("dim", "shard").applyInPandas(grow, INDEX), "ann-index")  # a shard is small by its size
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 128, block: int = 1024) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 128, per_task: int = 100_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries (vec_id, embedding)."""
     q = stage(usable(queries).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")), "ann-queries")
-    blocks = parts_for(q.count(), block)
-    q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    shards = index.select(F.col("dim").alias("d2"), F.col("shard").alias("s2"))
-    q = q.join(shards, F.col("dim") == F.col("d2")).select("query_id", "v", "dim", F.col("s2").alias("shard"), "part")
-    tasks = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(qs, ix):
+    tasks = parts_for(q.count(), per_task)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    shards = index.select(F.col("dim").alias("d2"), "shard")
+    asked = q.join(shards, F.col("dim") == F.col("d2")).select("dim", "shard", F.pmod(F.xxhash64("query_id"), F.lit(tasks)).cast("int").alias("part"), F.lit(1).alias("kind"), "query_id", "v", *[none(t, c) for c, t in (x.split() for x in INDEX.split(", ")[2:])])
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"), F.lit(0).alias("kind"), none("long", "query_id"), none("array<double>", "v"), "n", "ids", "vectors", "graph", "entry")
+
+    def answers(r, own, x):
+        """(query_id, vec_id, score) arrays of the queries own, with vectors x, in the shard r."""
         import numpy as np
         import pandas as pd
 
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if not len(qs) or not len(ix):
-            return out
-        r = ix.iloc[0]
-        n, d = int(r["n"]), int(r["dim"])
-        v = np.frombuffer(r["vectors"], np.float64).reshape(n, d)
-        norm = np.linalg.norm(v, axis=1)
-        unit = (v / norm[:, None]).astype(np.float32)
-        graph = np.frombuffer(r["graph"], np.int32).reshape(n, -1)
-        meta = np.frombuffer(r["ids"], np.int64).reshape(n, -1)
-        parts = []
-        for lo in range(0, len(qs), 256):
-            part = qs.iloc[lo : lo + 256]
-            own = part["query_id"].to_numpy()
-            x = np.array(part["v"].tolist(), np.float64)
-            xn = np.linalg.norm(x, axis=1)
-            found, sim = search(unit, graph, int(r["entry"]), (x / xn[:, None]).astype(np.float32), beam)
-            keep = found[:, : 4 * k]
-            i, j = np.nonzero(keep >= 0)
-            node = keep[i, j]
-            exact = (v[node] * x[i]).sum(1) / (norm[node] * xn[i])
-            ids = meta[node]
-            width = ids.shape[1] - 1
-            f = pd.DataFrame({"query_id": np.repeat(own[i], width), "vec_id": ids[:, 1:].ravel(), "score": np.repeat(exact, width), "ok": (np.arange(width)[None, :] < ids[:, :1]).ravel()})
-            f = f[f.ok & (f.query_id != f.vec_id)].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            parts.append(f.groupby("query_id").head(k)[["query_id", "vec_id", "score"]])
-        return pd.concat([out, *parts])
-
-    found = q.groupBy("dim", "shard", "part").cogroup(tasks.groupBy("dim", "shard", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
+        v, norm, unit, graph, meta, entry = r
+        x = scaled(x)
+        xn = np.linalg.norm(x, axis=1)
+        found, _ = search(unit, graph, entry, (x / xn[:, None]).astype(np.float32), beam)
+        keep = found[:, : 4 * k]
+        i, j = np.nonzero(keep >= 0)
+        node = keep[i, j]
+        exact = (v[node] * x[i]).sum(1) / (norm[node] * xn[i])
+        ids = meta[node]
+        width = ids.shape[1] - 1
+        f = pd.DataFrame({"query_id": np.repeat(own[i], width), "vec_id": ids[:, 1:].ravel(), "score": np.repeat(exact, width), "ok": (np.arange(width)[None, :] < ids[:, :1]).ravel()})
+        f = f[f.ok & (f.query_id != f.vec_id)].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return f.groupby("query_id").head(k)[["query_id", "vec_id", "score"]]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now = None
+        for batch in batches:
+            kind = batch.column(3).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (kind[1:] == 0) | (kind[:-1] == 0)])).tolist()
+            for lo, hi in zip(cut, [*cut[1:], batch.num_rows]):
+                b = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    r = b.to_pylist()[0]
+                    v = scaled(np.frombuffer(r["vectors"], np.float64).reshape(r["n"], r["dim"]))
+                    norm = np.linalg.norm(v, axis=1)
+                    now = (v, norm, (v / norm[:, None]).astype(np.float32), np.frombuffer(r["graph"], np.int32).reshape(r["n"], -1), np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1), r["entry"])
+                    continue
+                for at in range(0, b.num_rows, 256):
+                    c = b.slice(at, 256)
+                    x = c.column(5).flatten().to_numpy().reshape(c.num_rows, -1)
+                    f = answers(now, c.column(4).to_numpy(), x)
+                    yield pa.RecordBatch.from_pandas(f, preserve_index=False)
+
+    both = held.unionByName(asked).repartition("dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "kind")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

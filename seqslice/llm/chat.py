@@ -1,7 +1,7 @@
 """Operator 8, chat formatting in budgeted windows.
 
 Turns become ``<s>[INST]role[/INST]text</s>``; the template's control strings inside roles and texts are escaped with one
-backslash more than they hold, which unescape() takes back. Prefix sums of the turns' tokens cut a conversation into
+backslash more than they hold, which unescape() takes back. Prefix sums of the turns' tokens, as they are formatted, cut a conversation into
 turn-aligned windows: each holds the system turn (if the first turn is one), some of the last turns of the window before
 (history) and new turns up to the budget. Every turn is new in exactly one window; only new assistant turns are under the
 loss mask, repeated ones are not. A turn over the budget stands whole in a window of its own.
@@ -35,6 +35,10 @@ def unescape(s: str) -> str:
     return ESCAPED.sub(r"\1\2\3", s)
 
 
+def head(role: str) -> str:
+    return f"[INST]{escape(role)}[/INST]"
+
+
 def _streamed(batches, size: int = 2000):
     for b in batches:
         for lo in range(0, b.num_rows, size):
@@ -72,10 +76,10 @@ class _Conversation:
     def flush(self) -> tuple:
         out, at, loss = [], 0, []
         for k, (role, text, _) in enumerate(turns := self.old + self.new):
-            head, body = f"<s>[INST]{escape(role)}[/INST]", escape(text)
+            front, body = f"<s>{head(role)}", escape(text)
             if k >= len(self.old) and role == "assistant":
-                loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
-            out.append(f"{head}{body}</s>")
+                loss.append({"start": at + len(front), "end": at + len(front) + len(body)})
+            out.append(f"{front}{body}</s>")
             at += len(out[-1])
         row = (self.conv, self.window, len(turns), len(self.old), self.used, "".join(out), loss)
         self.window += 1
@@ -98,7 +102,7 @@ def format_windows(conversations: DataFrame, tokenizer_path: str, budget: int =
         now, rows, held = None, [], 0
         for b in _streamed(batches):
             convs, roles, texts = (b.column(i).to_pylist() for i in (0, 2, 3))
-            sizes = [len(e.ids) + 6 for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = [len(e.ids) for e in tok.encode_batch_fast([f"<s>{head(r)}{escape(t)}</s>" for r, t in zip(roles, texts)], add_special_tokens=False)]
             for conv, role, text, n in zip(convs, roles, texts, sizes):
                 if now is None or now.conv != conv:
                     if now is not None:

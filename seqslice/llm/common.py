@@ -97,5 +97,5 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(col)).alias("b")).first()["b"] or 0)
 
 
-def parts_for(n_bytes: int, each: int, least: int = 1, most: int = 20000) -> int:
-    return max(least, min(most, math.ceil(n_bytes / each)))
+def parts_for(n_bytes: int, each: int, least: int = 1) -> int:
+    return max(least, math.ceil(n_bytes / each))

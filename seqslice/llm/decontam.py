@@ -66,6 +66,11 @@ def _windows(words: str, window: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
 
 
+def _windows_at(places: str, words: str, window: int) -> Column:
+    """(i, s): the windows that start at the places, as texts."""
+    return F.transform(places, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(words, i + 1, F.lit(window)), " ").alias("s")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, th (hash of doc_id and text), n_words, n_hit, n_items, items, contaminated."""
     items = stage(benchmark.select("item_id", plain_words(F.col("text")).alias("t")).where(F.col("t") != "").withColumn("n", count_plain(F.col("t"))), "bench-items")
@@ -85,22 +90,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     d = docs.select("doc_id", row_key("doc_id", "text").alias("th"), plain_words(F.col("text")).alias("t"))
     d = d.withColumn("n_words", count_plain(F.col("t"))).withColumn("w", _words(F.col("t")))
 
-    def printed(x: DataFrame) -> DataFrame:
-        for w in every:
-            x = winnow(x, "w", w, f"fp{w}")
-        return x
-
-    marks = printed(d).select("doc_id", "th", "n_words", F.array_distinct(F.concat(*[F.col(f"fp{w}") for w in every])).alias("fps"))
+    for w in every:
+        d = winnow(d, "w", w, f"fp{w}")
+    marks = d.select("doc_id", "th", "n_words", F.array_distinct(F.concat(*[F.col(f"fp{w}") for w in every])).alias("fps"))
+    d = d.select("doc_id", "th", "t")
     marks = stage(marks, "doc-prints")
     hit = marks.select("doc_id", "th", F.explode("fps").alias("fp")).join(prints, "fp", "left_semi").select("doc_id", "th").distinct()
     hit = broadcast_if_small(stage(hit, "doc-hits"))
-    some = d.join(hit, same(d, hit, "doc_id", "th"), "left_semi").dropDuplicates(["doc_id", "th"])
-    some = printed(some)
+    some = stage(d.join(hit, same(d, hit, "doc_id", "th"), "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "t"), "hit-texts").withColumn("w", _words(F.col("t")))
     found = []
     for w in every:
-        x = some.select("doc_id", "th", F.posexplode(F.arrays_zip(F.col(f"fp{w}").alias("fp"), _windows("w", w).alias("s"))).alias("i", "x"))
-        x = x.select("doc_id", "th", "i", F.col("x.fp").alias("fp"), F.col("x.s").alias("s")).join(prints, "fp", "left_semi")
-        found.append(x.select("doc_id", "th", "i", F.lit(w).alias("len"), "s"))
+        # places with a known fingerprint first; only their windows are ever written out
+        x = winnow(some, "w", w, "fp").select("doc_id", "th", F.posexplode("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
+        at = x.groupBy("doc_id", "th").agg(F.collect_list("i").alias("at")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
+        x = some.join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+        x = x.select("doc_id", "th", F.explode(_windows_at("at", "w", w)).alias("x"))
+        found.append(x.select("doc_id", "th", "x.i", F.lit(w).alias("len"), "x.s"))
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
@@ -116,11 +121,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    """docs without the contaminated ones; rows travel as structs, so that no name of theirs matters."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
     bad = broadcast_if_small(stage(bad, "contaminated"))
-    d = docs.withColumn("_th", row_key("doc_id", "text"))
-    return d.join(bad, d["doc_id"].eqNullSafe(bad["_d"]) & (d["_th"] == bad["_t"]), "left_anti").select(*docs.columns)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", row_key("doc_id", "text").alias("th"))
+    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ from .common import table
 THRESHOLD = 0.3
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs with _x0, _x1 ... added, one per name of STATISTICS."""
-    d = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+def statistics(docs: DataFrame, **more: Column) -> DataFrame:
+    """x0, x1, ..., one per name of STATISTICS, and the columns of more; no other columns of docs."""
+    d = docs.select(*[c.alias(k) for k, c in more.items()], F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     d = d.withColumn("_w", F.split(F.trim(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", " ")), " "))
     d = d.withColumn("_lines", F.split("_t", "\n"))
     for k, c in enumerate(_columns()):
-        d = d.withColumn(f"_x{k}", c.cast("double"))
+        d = d.withColumn(f"x{k}", c.cast("double"))
     return d.drop("_t", "_w", "_lines")
 
 
@@ -68,7 +68,7 @@ class Rule:
     weight: float = 0.0
 
     def column(self) -> Column:
-        return reduce(lambda a, b: a & b, [(F.col(f"_x{k}") <= v) if le else (F.col(f"_x{k}") > v) for k, le, v in self.terms])
+        return reduce(lambda a, b: a & b, [(F.col(f"x{k}") <= v) if le else (F.col(f"x{k}") > v) for k, le, v in self.terms])
 
     def of(self, x):
         import numpy as np
@@ -174,14 +174,16 @@ def fit(x, y, penalty: float = 0.0005) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
-    """A model from the labelled rows whose crc32(doc_id as text) mod 5 is not 0, sample_rows of them at most."""
+    """A model from the labelled rows whose crc32(doc_id as text) mod 5 is not 0: sample_rows doc_ids at most, and twice as
+    many rows of them where doc_ids repeat (those with the smallest hashes)."""
     import numpy as np
 
-    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("_y"))
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows bounds this side: two numbers a row
     d = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = statistics(d).select("_y", *[f"_x{k}" for k in range(len(STATISTICS))], F.xxhash64("doc_id", "text").alias("_o")).orderBy("_o").limit(2 * sample_rows).collect()
+    d = statistics(d, y=F.col("y"), place=F.xxhash64("doc_id", "text"))
+    rows = d.select("y", *[f"x{k}" for k in range(len(STATISTICS))], "place").orderBy("place").limit(2 * sample_rows).collect()
     x = np.array([r[1:-1] for r in rows], dtype="float64").reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r[0] for r in rows], dtype="float64"))
 
@@ -191,17 +193,16 @@ def held_out(col: str = "doc_id") -> Column:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score added."""
-    cols = docs.columns
-    return statistics(docs).withColumn("_score", model.score()).select(*cols, "_score")
+    """(row, score): docs' rows as structs, whatever their columns are called, and their scores."""
+    return statistics(docs, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("row", model.score().alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return scored(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = scored(docs, train(docs, table(spark, sf_dir, "labels")))
-    return d.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return d.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -116,8 +116,9 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 16 << 20, block_bytes: int = 1 << 20, dict_bytes: int = 32 << 10, dict_docs: int = 400, level: int = 1) -> None:
-    """Encode docs (doc_id, text) and write the layout above to path.
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_bytes: int = 16 << 20, block_bytes: int = 1 << 20, dict_bytes: int = 32 << 10, dict_docs: int = 400, level: int = 1, order: list | None = None) -> None:
+    """Encode docs (doc_id, text) and write the layout above to path, in ascending doc_id order or that of the columns order.
+    read_document() finds a doc_id in either; in other orders it may look into more blocks.
 
     dict_docs bounds the documents that the dictionary is trained on (those with the smallest hashes, at most 16,384
     characters of each); every document is encoded and written whole.
@@ -125,7 +126,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     import numpy as np
 
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(f"place{k}") for k, c in enumerate(order or [])])
     # the ids first, so that a task hands on dict_docs numbers at most, whatever the number of tasks
     ids = [r[0] for r in d.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(dict_docs).collect()]
     sample = [r[0] for r in d.where(F.col("doc_id").isin(ids)).select(F.substring("text", 1, 16384)).limit(2 * dict_docs).collect()] if ids else []
@@ -150,7 +151,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         block, start, ids, counts, offsets, payload = 0, 0, [], [], [0], []
 
         def flush():
-            row = [shard, block, ids[0], ids[-1], start, ids, counts, offsets, dict_hash, b"".join(payload)]
+            known = [i for i in ids if i is not None] or [None]
+            row = [shard, block, min(known), max(known), start, ids, counts, offsets, dict_hash, b"".join(payload)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -169,13 +171,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield flush()
 
-    by = F.xxhash64("text")
-    (d.repartitionByRange(n, F.col("doc_id"), by).sortWithinPartitions(F.col("doc_id"), by)
-        .mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
+    by = [F.col(f"place{k}") for k in range(len(order))] if order else [F.col("doc_id"), F.xxhash64("text")]
+    placed = d.repartitionByRange(n, *by).sortWithinPartitions(*by).select("doc_id", "text")
+    placed.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.sql(f"SELECT '{dict_hash}' AS dict_hash, unhex('{raw.hex()}') AS dictionary").write.parquet(f"{path}/dictionary")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     total = blocks.select("shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("tokens"))
-    # one row per shard (at most parts_for's 20,000), so the running total may stand in one partition
+    # one row per shard (of 16 MiB of text), so the running total may stand in one partition
     from pyspark.sql import Window
 
     total.withColumn("token_base", F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).write.parquet(f"{path}/manifest")

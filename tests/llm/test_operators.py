@@ -62,7 +62,8 @@ def test_exact_dedup_of_hot_passages(spark):
 
 
 def test_jaccard(docs):
-    same(jaccard.groups(docs), B.op6(dicts()))
+    for how in ({}, {"block": 60}):
+        same(jaccard.groups(docs, **how), B.op6(dicts()))
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
 
@@ -138,36 +139,86 @@ def test_chat(spark):
     x += [(2, 0, "user", None), (2, 0, None, ok), (None, None, "assistant", ok), (-7, 0, "user", ok), (-7, 1, "assistant", ok)]
     w = chat.format_windows(spark.createDataFrame(x, "conv_id long, turn long, role string, text string"), token_output.tokenizer_file("byte_bpe_50k.json"), budget=300, history=120)
     assert w.where("conv_id = 1").count() > 2
-    same(chat.read_back(w).drop("formatted_chars", "n_windows"), B.op8([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in x]))
+    back = chat.read_back(w)
+    same(back.drop("formatted_chars", "n_windows"), B.op8([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in x]))
+    from tokenizers import Tokenizer
 
+    tok = Tokenizer.from_file(token_output.tokenizer_file("byte_bpe_50k.json"))
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = w.collect()
+    assert {r.conv_id: r.formatted_chars for r in back.collect()} == {c: sum(len(r.formatted) for r in rows if r.conv_id == c) for c in {r.conv_id for r in rows}}
+    for r in rows:
+        assert r.n_tokens == sum(size(t + "</s>") for t in r.formatted.split("</s>")[:-1]) and (r.n_tokens <= 300 or r.n_turns - r.n_repeated == 1)
 
-def test_neighbours(spark):
+
+@pytest.mark.parametrize("per_task", [100_000, 3])
+def test_neighbours(spark, per_task):
+    """Recall, ranks, ties, copies and scores, with very large and very small components among them."""
     import numpy as np
 
     r = np.random.default_rng(1)
     v = r.normal(size=(600, 16))
     v[300:320] = v[0]
-    x = [(i, [float(a) for a in row]) for i, row in enumerate(v)] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, [])]
-    e = spark.createDataFrame(x, "vec_id long, embedding array<double>")
-    got = ann.nearest(ann.build_index(e, shard_size=200), e.where("vec_id % 50 = 0")).collect()
+    scale = np.ones(600)
+    scale[100:110], scale[150:160] = 1e200, 1e-200
+    x = [(i, [float(a) for a in row]) for i, row in enumerate(v * scale[:, None])] + [(700, None), (750, [0.0] * 16), (800, [float("nan")] * 16), (850, []), (900, [1.0, float("inf")]), (950, [1.0, None]), (1000, [1.0, 2.0]), (None, [1.0] * 16)]
+    e = spark.createDataFrame([(*y, "x") for y in x], "vec_id long, embedding array<double>, shard string")
+    got = ann.nearest(ann.build_index(e, shard_size=200), e.where("vec_id % 50 = 0"), per_task=per_task).collect()
     u, hit = v / np.linalg.norm(v, axis=1, keepdims=True), 0
     for q in range(0, 600, 50):
         s = np.round(u @ u[q], 12)
         s[q] = -9
-        hit += len(set(np.lexsort((np.arange(600), -s))[:5].tolist()) & {g.vec_id for g in got if g.query_id == q})
+        own = sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)
+        hit += len(set(np.lexsort((np.arange(600), -s))[:5].tolist()) & {g.vec_id for g in own})
+        assert [g.rank for g in own] == [1, 2, 3, 4, 5] and all(abs(g.score - u[q] @ u[g.vec_id]) < 1e-9 for g in own)
+        assert own == sorted(own, key=lambda g: (-g.score, g.vec_id))
+    assert [g.vec_id for g in sorted((g for g in got if g.query_id == 0), key=lambda g: g.rank)] == [300, 301, 302, 303, 304]
     assert len(got) == 60 and hit >= 54
 
 
 def test_quality(spark):
     d = spark.read.parquet(f"{D}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{D}/../sf0.01/labels.parquet")
-    s = quality.scored(d.select("doc_id", "text"), quality.train(d, labels)).join(labels, "doc_id").where(quality.held_out()).collect()
-    assert sum((r._score >= quality.THRESHOLD) == r.quality for r in s) >= 0.9 * len(s)
+    s = quality.scored(d.select("doc_id", "text"), quality.train(d, labels)).selectExpr("row.doc_id", "score").join(labels, "doc_id").where(quality.held_out()).collect()
+    assert sum((r.score >= quality.THRESHOLD) == r.quality for r in s) >= 0.9 * len(s)
+
+
+def statistics(t):
+    """The statistics of a text in plain Python, in the operator's order."""
+    import re
+
+    t = t or ""
+    w = re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ").split(" ")
+    lines, n = t.split("\n"), max(1, len(t))
+    share = lambda f: sum(map(f, t)) / n
+    return [len(t), len(w), len(t) / len(w), share(lambda c: __import__("unicodedata").category(c) == "Lu"), share(lambda c: c in "0123456789"), share(lambda c: c in "#$%&*+=<>{}\\^~_@/"), share(lambda c: c == "|"), share(lambda c: c in "!?"), share(lambda c: c in ".,;:"), len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w), len(set(lines)) / len(lines), len(w) / len(lines), max(map(len, w))]
+
 
+def test_quality_scores(spark, docs):
+    """Scores are the model's rules over statistics that plain Python gives, whatever the columns are called."""
+    import math
 
-def test_empty(spark):
+    import numpy as np
+
+    labels = spark.createDataFrame([(r["doc_id"], int(len(r["text"] or "") % 2)) for r in dicts() if r["doc_id"] is not None], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = docs.selectExpr("*", "1 AS _w", "2 AS _t", "3 AS _lines", "4 AS x0", "5 AS score", "6 AS row", "7 AS y")
+    got = sorted((r.row.doc_id, r.score) for r in quality.scored(x, model).collect())
+    stat = np.array([statistics(r["text"]) for r in dicts()])
+    z = model.bias + sum(r.weight * r.of(stat) for r in model.rules)
+    want = sorted((r["doc_id"], 1 / (1 + math.exp(-max(-30, min(30, v))))) for r, v in zip(dicts(), np.broadcast_to(z, len(stat))))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want))
+    kept = quality.keep_good(x, labels)
+    assert kept.columns == x.columns and {r.doc_id for r in kept.collect()} == {g[0] for g in got if g[1] >= quality.THRESHOLD}
+
+
+def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    for d in (pii.find(none), jaccard.groups(none), decontam.contamination(none, bench), licenses.scan(none), mixing.mix(none), quality.keep_good(none, labels), exact_dedup.cut(none, exact_dedup.removals(none))):
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    path = str(tmp_path / "t")
+    token_output.write_token_files(none, path, token_output.tokenizer_file())
+    for d in (pii.find(none), jaccard.groups(none), jaccard.keep_one(none), decontam.contamination(none, bench), decontam.clean_documents(none, bench), licenses.scan(none), mixing.mix(none), mixing.mixed_documents(none), quality.keep_good(none, labels), exact_dedup.cut(none, exact_dedup.removals(none)), ann.nearest(ann.build_index(vectors), vectors), chat.read_back(chat.format_windows(turns, token_output.tokenizer_file("byte_bpe_50k.json"))), token_output.read_token_files(spark, path)):
         assert d.count() == 0
