@@ -22,7 +22,7 @@ def rows():
     bench = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()[0]["text"]
     long = " ".join(f"word{i % 50} and{i}" for i in range(400))
     odd = [(None, None), (None, long), (None, long + " end"), (7, own[10][1]), (7, bench), (7, ""), (8, " \n"), (8, long + " more"), (9, own[20][1]), (9, own[20][1])]
-    return [(*r, "a", 1, 0.5, 2) for r in own + [(i, t, None, None if k % 2 else "zz", t and len(t)) for k, (i, t) in enumerate(odd)]]
+    return [(*r, "a", 1, 0.5, 2) for r in own + [(i, t, None, None if k % 2 else "zz", None if t is None else len(t)) for k, (i, t) in enumerate(odd)]]
 
 
 @pytest.fixture(scope="module")
