@@ -66,8 +66,9 @@ def _windows(words: str, window: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(window)), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
 
 
-def _windows_at(places: str, words: str, window: int) -> Column:
-    """(i, s): the windows that start at the places, as texts."""
+def _windows_at(prints: str, known: str, words: str, window: int) -> Column:
+    """(i, s): the windows with a known fingerprint, as texts."""
+    places = F.filter(F.transform(prints, lambda p, i: F.when(F.array_contains(known, p), i)), lambda i: i.isNotNull())
     return F.transform(places, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(words, i + 1, F.lit(window)), " ").alias("s")))
 
 
@@ -95,16 +96,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     marks = d.select("doc_id", "th", "n_words", F.array_distinct(F.concat(*[F.col(f"fp{w}") for w in every])).alias("fps"))
     d = d.select("doc_id", "th", "t")
     marks = stage(marks, "doc-prints")
-    hit = marks.select("doc_id", "th", F.explode("fps").alias("fp")).join(prints, "fp", "left_semi").select("doc_id", "th").distinct()
-    hit = broadcast_if_small(stage(hit, "doc-hits"))
-    some = stage(d.join(hit, same(d, hit, "doc_id", "th"), "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "t"), "hit-texts").withColumn("w", _words(F.col("t")))
+    hit = marks.select("doc_id", "th", F.explode("fps").alias("fp")).join(prints, "fp", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("fp").alias("known"))
+    hit = broadcast_if_small(stage(hit.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "known"), "doc-hits"))
+    some = d.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).dropDuplicates(["doc_id", "th"])
+    some = stage(some.select("doc_id", "th", "t", "known"), "hit-texts").withColumn("w", _words(F.col("t")))
     found = []
     for w in every:
-        # places with a known fingerprint first; only their windows are ever written out
-        x = winnow(some, "w", w, "fp").select("doc_id", "th", F.posexplode("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
-        at = x.groupBy("doc_id", "th").agg(F.collect_list("i").alias("at")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
-        x = some.join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-        x = x.select("doc_id", "th", F.explode(_windows_at("at", "w", w)).alias("x"))
+        # only windows with a known fingerprint are ever written out
+        x = winnow(some, "w", w, "fp").select("doc_id", "th", F.explode(_windows_at("fp", "known", "w", w)).alias("x"))
         found.append(x.select("doc_id", "th", "x.i", F.lit(w).alias("len"), "x.s"))
     spans = found[0]
     for x in found[1:]:
