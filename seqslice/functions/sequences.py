@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ZERO, SEQUENCE, EPSILON = 0, 1, 2
 
@@ -45,3 +45,18 @@ def suffixes(seq: Column) -> Column:
 
 def joined(seq: Column) -> Column:
     return F.array_join(F.transform(seq, lambda x: x.cast("string")), ",")
+
+
+def follow_until(sequences: DataFrame, heads: DataFrame) -> DataFrame:
+    """(unit_id, suffix) of sequences (seq) as in follow sets, each sequence only up to its first unit that is a head (n)."""
+    x = sequences.select("seq", F.posexplode("seq").alias("i", "n"))
+    x = x.join(heads.select("n", F.lit(True).alias("_head")).distinct(), "n", "left").groupBy("seq").agg(F.min(F.when(F.col("_head"), F.col("i"))).alias("stop"))
+    last = F.least(F.coalesce("stop", F.size("seq")), F.size("seq") - 1)
+    s = x.where(last > 0).select(F.explode(F.transform(F.sequence(F.lit(1), last), lambda k: F.struct(F.element_at("seq", k).alias("unit_id"), F.slice("seq", k + 1, F.size("seq") - k).alias("suffix")))).alias("x"))
+    return s.select("x.unit_id", "x.suffix").distinct()
+
+
+def interned(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, set_id): the sets of values by key; equal sets have one number, that of their smallest key."""
+    s = rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("_s"))
+    return s.select(key, F.min(key).over(Window.partitionBy("_s")).alias("set_id"))

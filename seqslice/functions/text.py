@@ -14,9 +14,9 @@ def method_name(name: Column) -> Column:
     return F.when(F.startswith(name, F.lit("<")), F.regexp_extract(name, r"^<[^:]*: *\S+ +([^(]*)\(", 1)).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
 
 
-def covers_line(start: Column, end: Column, line: Column, wanted: Column) -> Column:
-    """Whether a position covers a line; -1 stands for no line and is never covered."""
-    return F.coalesce((start <= wanted) & (end >= wanted), F.lit(False)) | ((line == wanted) & (line != -1))
+def covers_line(start: Column, end: Column, wanted: Column) -> Column:
+    """Whether a position covers a line, or starts there; -1 stands for no line and is never covered."""
+    return F.coalesce((start != -1) & (wanted != -1) & ((start == wanted) | ((start <= wanted) & (end >= wanted))), F.lit(False))
 
 
 def line_number(lines: Column) -> Column:
@@ -37,8 +37,13 @@ def short_name(name: Column) -> Column:
 
 
 def elapsed(ms: Column) -> Column:
-    return F.format_string("%d min. %d s.", F.floor(ms / 60000), F.floor(ms / 1000) % 60)
+    """Whole minutes and seconds."""
+    return F.format_string("%d min. %d sec.", F.floor(ms / 60000), F.floor(ms / 1000) % 60)
 
 
-def is_true(option: Column) -> Column:
-    return F.coalesce(F.lower(option) == "true", F.lit(False))
+def elapsed_text(ms: int) -> str:
+    return f"{ms // 60000} min. {ms // 1000 % 60} sec."
+
+
+def parse_boolean(option: str) -> bool:
+    return option.lower() == "true"

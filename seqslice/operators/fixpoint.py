@@ -1,5 +1,5 @@
 """Semi-naive fixpoints over DataFrames. Every round is a table in the shared folder, so lineage stays short and a lost
-executor costs one round."""
+executor costs one round. Least fixpoints end by themselves: nothing bounds the number of rounds."""
 
 from __future__ import annotations
 
@@ -25,34 +25,50 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 500, merge: int = 16) -> DataFrame:
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Tables that no later round reads."""
+    for x in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], merge: int = 16, linear: bool = False, hops: int = 16) -> DataFrame:
     """The least relation that holds seed and step's results. step gets (new rows, all rows) and may return known rows.
 
-    The relation is the rounds' tables together; every merge tables become one, so that few files are listed and read.
+    The relation is the rounds' tables together; every merge tables become one, so that few files are listed and read, and
+    what was merged is removed. linear: step looks at new rows alone. Later rounds then take several steps at once, up to
+    hops, so that long chains need few rounds.
     """
     spark, cols = seed.sparkSession, seed.columns
     base = f"{shared_dir(spark)}/fixpoint-{uuid.uuid4().hex}"
     read = lambda *p: spark.read.schema(seed.schema).parquet(*p)
     seed.distinct().write.parquet(f"{base}/0")
-    paths, last = [f"{base}/0"], f"{base}/0"
-    for k in range(1, most + 1):
+    paths, last, spent, k = [f"{base}/0"], f"{base}/0", [], 0
+    while True:
+        k += 1
         every = read(*paths)
-        new = step(read(last), every).select(*cols).distinct().join(every, cols, "left_anti")
+        found = x = step(read(last), every).select(*cols)
+        for _ in range(min(hops, 2 ** (k // 4)) - 1 if linear else 0):
+            x = step(x.distinct(), every).select(*cols)
+            found = found.unionByName(x)
+        new = found.distinct().join(every, cols, "left_anti")
         last = f"{base}/{k}"
         new.write.parquet(last)
+        remove(spark, *spent)
+        spent = []
         if read(last).isEmpty():
             return every
         paths.append(last)
         if len(paths) > merge:
             read(*paths).write.parquet(f"{base}/to-{k}")
-            paths = [f"{base}/to-{k}"]
-    raise RuntimeError(f"no fixpoint in {most} rounds")
+            # the newest table is the next round's input
+            paths, spent = [f"{base}/to-{k}"], paths
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node) reachable from seeds (node), themselves included, along edges (src, dst)."""
     e = stage(edges.select("src", "dst").distinct())
-    return fixpoint(seeds.select("node"), lambda d, _: d.join(e, d["node"] == e["src"]).select(F.col("dst").alias("node")))
+    return fixpoint(seeds.select("node"), lambda d, _: d.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")), linear=True)
 
 
 def closure(edges: DataFrame) -> DataFrame:

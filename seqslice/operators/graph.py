@@ -19,7 +19,7 @@ def reachable_methods(calls: DataFrame, main: DataFrame) -> DataFrame:
     return reach(method_graph(calls), main)
 
 
-def scc(edges: DataFrame, most: int = 1000) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """(node, root): strongly connected components by colours; root is the component's largest node.
 
     A node's colour is the largest node that reaches it; those of a colour that reach the colour's own node are its
@@ -28,7 +28,7 @@ def scc(edges: DataFrame, most: int = 1000) -> DataFrame:
     left = stage(edges.select("src", "dst").distinct())
     nodes = stage(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
     out = nodes.select("node", F.col("node").alias("root")).limit(0)
-    for _ in range(most):
+    while True:
         inner = left.where("src <> dst")
         live = stage(inner.select(F.col("src").alias("node")).intersect(inner.select(F.col("dst").alias("node"))))
         out = out.unionByName(nodes.join(live, "node", "left_anti").select("node", F.col("node").alias("root")))
@@ -50,14 +50,13 @@ def scc(edges: DataFrame, most: int = 1000) -> DataFrame:
         a = color.select(F.col("node").alias("src"), F.col("c").alias("ca"))
         b = color.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
         same = stage(kept.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", F.col("ca").alias("c")))
-        members = fixpoint(color.where("node = c").select("node", "c"), lambda dl, _, e=same: dl.join(e, (dl["node"] == e["dst"]) & (dl["c"] == e["c"])).select(e["src"].alias("node"), e["c"]))
+        members = fixpoint(color.where("node = c").select("node", "c"), lambda dl, _, e=same.withColumnRenamed("c", "ec"): dl.join(e, (F.col("node") == F.col("dst")) & (F.col("c") == F.col("ec"))).select(F.col("src").alias("node"), "c"), linear=True)
         out = stage(out.unionByName(members.select("node", F.col("c").alias("root"))))
         nodes = stage(nodes.join(members.select("node"), "node", "left_anti"))
         left = kept.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
         left = stage(left)
         if nodes.isEmpty():
             return out
-    raise RuntimeError(f"no end in {most} rounds")
 
 
 def true_sccs(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -73,30 +72,53 @@ def cycle_labels(edges: DataFrame) -> DataFrame:
     return reach(edges, true_sccs(edges).select("node").distinct())
 
 
-def break_cycles(edges: DataFrame, head: int, most: int = 200) -> DataFrame:
-    """edges without those that close cycles reachable from head: again and again the component member nearest to head
-    (ties: the smallest) loses its callers inside the component, until no true component is left."""
+def cycle_cuts(edges: DataFrame, head: int) -> DataFrame:
+    """(src, dst): the edges that break_cycles() takes away. Every round cuts one entry in each true component that can be
+    reached: the member nearest to head (ties: the smallest) loses its callers inside the component."""
     spark = edges.sparkSession
     e = stage(edges.select("src", "dst").distinct())
-    for _ in range(most):
-        seen = reach(e, spark.range(1).select(F.lit(head).cast("long").alias("node")))
+    start = spark.range(1).select(F.lit(head).cast("long").alias("node"))
+    cuts = e.limit(0)
+    while True:
+        seen = reach(e, start)
         live = stage(e.join(seen.withColumnRenamed("node", "src"), "src", "left_semi"))
         members = stage(true_sccs(live))
         if members.isEmpty():
-            return e
-        depth, level, all_seen = 0, spark.range(1).select(F.lit(head).cast("long").alias("node")), None
-        while True:
-            hit = level.join(members, "node").agg(F.min("node").alias("n")).first()["n"]
-            if hit is not None:
-                break
-            all_seen = stage(level if all_seen is None else all_seen.unionByName(level))
-            level = stage(level.join(live, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(all_seen, "node", "left_anti"))
-            depth += 1
-        root = members.where(F.col("node") == hit).select("root")
-        inside = members.join(root, "root", "left_semi").select(F.col("node").alias("src"))
-        cut = e.where(F.col("dst") == hit).join(inside, "src", "left_semi").select("src", "dst")
+            return cuts
+        near = _depths(live, start, members)
+        entry = members.join(near, "node").groupBy("root").agg(F.min(F.struct("depth", "node")).alias("x")).select("root", F.col("x.node").alias("dst"))
+        inside = members.select(F.col("node").alias("src"), "root")
+        cut = stage(e.join(entry, "dst").join(inside, ["src", "root"], "left_semi").select("src", "dst"))
+        cuts = stage(cuts.unionByName(cut))
         e = stage(e.join(cut, ["src", "dst"], "left_anti"))
-    raise RuntimeError("cycles are left")
+
+
+def _depths(edges: DataFrame, start: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, depth): edges from start, as far as every component of wanted (node, root) has its nearest members."""
+    level = stage(start.select("node", F.lit(0).alias("depth")))
+    every, n = level, 0
+    while True:
+        open_ = wanted.join(every.join(wanted, "node").select("root").distinct(), "root", "left_anti")
+        if open_.isEmpty():
+            return every
+        n += 1
+        step = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(n).alias("depth")).distinct()
+        level = stage(step.join(every, "node", "left_anti"))
+        every = stage(every.unionByName(level))
+
+
+def break_cycles(edges: DataFrame, head: int) -> DataFrame:
+    """edges without those that close cycles reachable from head: again and again the member of each true component that is
+    nearest to head (ties: the smallest) loses its callers inside the component, until none is left."""
+    e = edges.select("src", "dst").distinct()
+    return e.join(cycle_cuts(e, head), ["src", "dst"], "left_anti")
+
+
+def cycle_report(calls: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(call_unit, n_callees, callees): what every call unit loses by the cuts (src, dst) between methods; one row a key, as
+    listed by the report on broken cycles."""
+    lost = calls.join(cuts, (calls["method_id"] == cuts["src"]) & (calls["callee_id"] == cuts["dst"])).select("call_unit", "callee_id").distinct()
+    return lost.groupBy("call_unit").agg(F.count("*").alias("n_callees"), F.array_join(F.array_sort(F.collect_list("callee_id")), ",").alias("callees"))
 
 
 def class_closure(supers: DataFrame) -> DataFrame:
@@ -124,5 +146,5 @@ def clinit_edges(cfg: DataFrame, starts: DataFrame, is_call: DataFrame) -> DataF
     """(start, call): the first calls on the ways from units that are not calls; ways end at calls."""
     c = stage(is_call.select(F.col("unit_id").alias("n")).distinct())
     e = stage(cfg.select("src", "dst").distinct())
-    seen = fixpoint(starts.select("start", F.col("start").alias("n")), lambda d, _: d.join(c, "n", "left_anti").join(e, F.col("n") == F.col("src")).select("start", F.col("dst").alias("n")))
+    seen = fixpoint(starts.select("start", F.col("start").alias("n")), lambda d, _: d.join(c, "n", "left_anti").join(e, F.col("n") == F.col("src")).select("start", F.col("dst").alias("n")), linear=True)
     return seen.join(c, "n", "left_semi").select("start", F.col("n").alias("call"))

@@ -1,14 +1,19 @@
 """Context-sensitive dataflow over facts as relations, and the two passes of a slice.
 
-A path edge (m, d1, n, f) says that fact f holds at n of method m if d1 held at m's entry. Facts are strings: '' is zero,
-'e' epsilon, else unit ids joined by commas. Rounds are semi-naive; returns join new exits with all callers and
-all exits with new callers. Zero always goes along and never counts as a result.
+A path edge (g, m, d1, n, f) says that, for the criteria that end at g, fact f holds at n of method m if d1 held at m's entry.
+Facts are strings: '' is zero, 'e' epsilon, else unit ids joined by commas. All groups of criteria are solved at once.
+
+A round carries new facts through whole bodies (a body is bounded, its facts are those of its own entries, so each body is
+one group), then into callees and back to callers by joins: rounds follow the depth of calls, not the length of paths.
+They are semi-naive; returns join new exits with all callers and all exits with new callers. Zero always goes along and
+never counts as a result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .fixpoint import fixpoint, stage
@@ -18,37 +23,48 @@ ZERO, EPSILON = "", "e"
 
 @dataclass
 class GraphView:
-    """A two-level graph in one direction: next (n, r), calls (n, callee), callers (callee, r), starts and exits (m, n), call_nodes (n).
+    """A two-level graph in one direction.
 
-    callers also has the calls that are not entered."""
+    next (m, n, r); calls (n, callee, p, real): p is the call unit, which is n itself or, backwards, stands before it; real:
+    not a class initialiser; starts, exits (m, n); call_nodes (n): calls or, backwards, return sites; callers (callee, r): the
+    call units of a method, with those that are not entered.
+    """
 
     next: DataFrame
     calls: DataFrame
     starts: DataFrame
     exits: DataFrame
     call_nodes: DataFrame
-    callers: DataFrame | None = None
+    callers: DataFrame
 
     def staged(self) -> GraphView:
-        return GraphView(*[None if x is None else stage(x.distinct()) for x in (self.next, self.calls, self.starts, self.exits, self.call_nodes, self.callers)])
+        return GraphView(*[stage(x.distinct()) for x in (self.next, self.calls, self.starts, self.exits, self.call_nodes, self.callers)])
 
 
 @dataclass
 class Criteria:
-    """units (n, is_tail, is_head), follow (n, rest): what may stand behind n; sequences (seq)."""
+    """By group g, the unit that its sequences end at: units (g, n, is_tail, is_head), follow (g, n, rest): what may stand behind
+    n; sequences (g, seq)."""
 
     units: DataFrame
     follow: DataFrame
     sequences: DataFrame
 
+    def blocked(self) -> DataFrame:
+        """(g, p): calls that a group does not enter."""
+        return self.units.where("not is_tail").select("g", F.col("n").alias("p"))
+
+    def staged(self) -> Criteria:
+        return Criteria(stage(self.units), stage(self.follow), stage(self.sequences))
+
 
 def criteria(sequences: DataFrame) -> Criteria:
     """From (seq): array of unit ids."""
-    s = sequences.select(F.col("seq").cast("array<bigint>").alias("seq")).where(F.size("seq") > 0).distinct()
-    x = s.select("seq", F.posexplode("seq").alias("i", "n"))
-    units = x.groupBy("n").agg(F.max(F.col("i") == F.size("seq") - 1).alias("is_tail"), F.max(F.col("i") == 0).alias("is_head"))
-    rest = x.where(F.col("i") < F.size("seq") - 1).select("n", text(F.slice("seq", F.col("i") + 2, F.size("seq") - F.col("i") - 1)).alias("rest"))
-    return Criteria(units, rest.distinct(), s.select(text(F.col("seq")).alias("seq")))
+    s = sequences.select(F.col("seq").cast("array<bigint>").alias("seq")).where(F.size("seq") > 0).distinct().withColumn("g", F.element_at("seq", -1))
+    x = s.select("g", "seq", F.posexplode("seq").alias("i", "n"))
+    units = x.groupBy("g", "n").agg(F.max(F.col("i") == F.size("seq") - 1).alias("is_tail"), F.max(F.col("i") == 0).alias("is_head"))
+    rest = x.where(F.col("i") < F.size("seq") - 1).select("g", "n", text(F.slice("seq", F.col("i") + 2, F.size("seq") - F.col("i") - 1)).alias("rest"))
+    return Criteria(units, rest.distinct(), s.select("g", text(F.col("seq")).alias("seq")))
 
 
 def text(seq: Column) -> Column:
@@ -59,239 +75,310 @@ def add_head(n: Column, f: Column) -> Column:
     return F.concat(n.cast("string"), F.when(f == ZERO, F.lit("")).otherwise(F.concat(F.lit(","), f)))
 
 
-def forward(cfg: DataFrame, units: DataFrame, calls: DataFrame, sc: Criteria | None = None) -> GraphView:
-    """cfg (src, dst, method_id), units (unit_id, method_id, is_call), calls (call_unit, callee_id).
-
-    Callees of criteria units are not entered unless the unit is a tail.
-    """
+def forward(cfg: DataFrame, units: DataFrame, calls: DataFrame, callers: DataFrame | None = None, clinit: DataFrame | None = None) -> GraphView:
+    """cfg (src, dst), units (unit_id, method_id, is_call), calls (call_unit, callee_id); callers: as calls, where a method's
+    callers are not those whose callee it is; clinit (callee_id): class initialisers."""
     u = units.select(F.col("method_id").alias("m"), F.col("unit_id").alias("n"))
-    edges = cfg.select(F.col("src").alias("n"), F.col("dst").alias("r"))
-    c = calls.select(F.col("call_unit").alias("n"), F.col("callee_id").alias("callee"))
+    edges = cfg.select(F.col("src").alias("n"), F.col("dst").alias("r")).join(u, "n").select("m", "n", "r")
     has_body = u.select(F.col("m").alias("callee")).distinct()
-    c = c.join(has_body, "callee", "left_semi").select("n", "callee")
-    open_ = c if sc is None else c.join(sc.units.where("not is_tail").select("n"), "n", "left_anti")
+    pair = lambda c: c.select(F.col("call_unit").alias("n"), F.col("callee_id").alias("callee")).join(has_body, "callee", "left_semi").select("n", "callee")
+    c = pair(calls).withColumn("p", F.col("n"))
+    if clinit is None:
+        c = c.withColumn("real", F.lit(True))
+    else:
+        c = c.join(clinit.select(F.col("callee_id").alias("callee"), F.lit(False).alias("_real")).distinct(), "callee", "left").select("n", "callee", "p", F.coalesce("_real", F.lit(True)).alias("real"))
     starts = u.join(edges.select(F.col("r").alias("n")), "n", "left_anti").select("m", "n")
     exits = u.join(edges.select("n"), "n", "left_anti").select("m", "n")
-    return GraphView(edges, open_, starts, exits, units.where("is_call").select(F.col("unit_id").alias("n")), c.select("callee", F.col("n").alias("r")))
+    back = pair(calls if callers is None else callers).select("callee", F.col("n").alias("r"))
+    return GraphView(edges, c, starts, exits, units.where("is_call").select(F.col("unit_id").alias("n")), back)
 
 
 def backward(v: GraphView) -> GraphView:
     """Successors and predecessors, starts and exits, calls and return sites swapped."""
-    back = v.next.select(F.col("r").alias("n"), F.col("n").alias("r"))
+    back = v.next.select("m", F.col("r").alias("n"), F.col("n").alias("r"))
     sites = v.next.join(v.call_nodes, "n", "left_semi").select("n", "r")
-    calls = sites.join(v.calls, "n").select(F.col("r").alias("n"), "callee")
+    calls = sites.join(v.calls, "n").select(F.col("r").alias("n"), "callee", "p", "real")
     return GraphView(back, calls, v.exits, v.starts, sites.select(F.col("r").alias("n")), v.callers)
 
 
-def only(v: GraphView, units: DataFrame) -> GraphView:
-    """v with successors among units (n) alone."""
-    return GraphView(v.next.join(units.select(F.col("n").alias("r")), "r", "left_semi").select("n", "r"), v.calls, v.starts, v.exits, v.call_nodes, v.callers)
+def only(v: GraphView, units: DataFrame) -> DataFrame:
+    """(g, m, n, r): v's edges to units (g, n) alone, by group."""
+    return v.next.join(units.select("g", F.col("n").alias("r")), "r").select("g", "m", "n", "r")
 
 
-KEEP, DROP, PUT, STRIP = "keep", "drop", "put", "strip"
+EDGE, CALL, BODY, PUT, OWN, LIVE = range(6)
+PROGRAM = ["m", "kind", "g", "a", "b", "f"]
 
 
-class Flows:
-    """What a pass does to facts, as tables, so that a round is one join with them.
+def _part(df: DataFrame, kind: int, m, g=None, a=None, b=None, f=None) -> DataFrame:
+    col = lambda x, t: (F.lit(None) if x is None else F.col(x)).cast(t)
+    return df.select(F.col(m).alias("m"), F.lit(kind).alias("kind"), col(g, "long").alias("g"), col(a, "long").alias("a"), col(b, "long").alias("b"), col(f, "string").alias("f"))
 
-    moves (n, r, callee, op, fin, fout): from n to r, in the same method or, where callee is given, at its start. KEEP passes
-    all facts, DROP zero alone, PUT turns fin into fout, STRIP takes n off the front. sites (n, callee, r, real): where callee
-    returns to from n; zero alone returns if not real.
-    """
 
-    strips_calls = False
+class FlowFunctions:
+    """A pass's four flow functions. Inside a body, normal and call-to-return flow are one plain function that step() makes of
+    the body's program (rows of PROGRAM); call and return flow are Columns and joins over the rows at calls and exits."""
 
     def __init__(self, view: GraphView, sc: Criteria):
         self.view, self.sc = view, sc
 
-    def local(self) -> DataFrame:
-        return self.view.next.select("n", "r", F.lit(KEEP).alias("op"), *_no_facts())
+    def program(self) -> DataFrame:
+        """Rows of PROGRAM: the edges, and what step() needs beside them."""
+        raise NotImplementedError
 
-    def moves(self) -> DataFrame:
-        v = self.view
-        starts = v.starts.select(F.col("m").alias("callee"), F.col("n").alias("r"))
-        into = v.calls.join(starts, "callee").select("n", "r", "callee", F.lit(STRIP if self.strips_calls else KEEP).alias("op"), *_no_facts())
-        return self.local().withColumn("callee", F.lit(None).cast("long")).select(*into.columns).unionByName(into)
+    @staticmethod
+    def step(rows: pd.DataFrame):
+        """(g, n, f) -> list of (r, f)."""
+        raise NotImplementedError
 
-    def sites(self) -> DataFrame:
-        return self.view.calls.join(self.view.next, "n").select("n", "callee", "r", F.lit(True).alias("real"))
+    def enter(self, f: Column, n: Column) -> Column:
+        """Call flow: the fact at the callee's entry."""
+        return f
 
     def returned(self, x: DataFrame) -> DataFrame:
-        """x (n, r, callee, f and others) with what else a return gives."""
+        """Return flow: x (g, m, d1, n, callee, p, r, f) with what holds at r."""
         return x
 
 
-def _no_facts() -> list[Column]:
-    return [F.lit(None).cast("string").alias("fin"), F.lit(None).cast("string").alias("fout")]
+def strip_text(f: str, n: int) -> str:
+    """f without its head where that is n."""
+    head, _, rest = f.partition(",")
+    return (rest or EPSILON) if head == str(n) else f
+
 
+def strip(f: Column, n: Column) -> Column:
+    """strip_text as a Column."""
+    first = F.substring_index(f, ",", 1) == n.cast("string")
+    return F.when((f == ZERO) | (f == EPSILON) | ~first, f).when(~F.contains(f, F.lit(",")), F.lit(EPSILON)).otherwise(F.substring(f, F.instr(f, ",") + 1, F.length(f)))
 
-class BottomUp(Flows):
+
+class BottomUp(FlowFunctions):
     """Facts are what is matched from a unit to the end; they grow where a call is passed that may stand before them."""
 
-    def __init__(self, view: GraphView, sc: Criteria, callers: DataFrame, ext: DataFrame | None = None):
+    def __init__(self, view: GraphView, sc: Criteria, ext: DataFrame | None = None):
         super().__init__(view, sc)
-        self.callers, self.ext = callers, ext
+        self.ext = ext
 
-    def local(self) -> DataFrame:
+    def program(self) -> DataFrame:
         v, sc = self.view, self.sc
-        grow = sc.follow.select(F.col("n").alias("r"), F.col("rest").alias("fin")).unionByName(sc.units.where("is_tail").select(F.col("n").alias("r"), F.lit(ZERO).alias("fin")))
-        put = v.next.join(v.call_nodes, "n", "left_semi").join(grow, "r")
-        return super().local().unionByName(put.select("n", "r", F.lit(PUT).alias("op"), "fin", add_head(F.col("r"), F.col("fin")).alias("fout")))
-
-    def sites(self) -> DataFrame:
-        real = self.callers.select("callee", "r", F.lit(True).alias("_real")).distinct()
-        return super().sites().join(real, ["callee", "r"], "left").select("n", "callee", "r", F.col("_real").isNotNull().alias("real"))
-
-    def returned(self, x: DataFrame) -> DataFrame:
+        own = v.next.select("m", F.col("r").alias("u")).unionByName(v.next.select("m", F.col("n").alias("u"))).distinct()
+        grow = sc.follow.select("g", F.col("n").alias("u"), F.col("rest").alias("fin")).unionByName(sc.units.where("is_tail").select("g", F.col("n").alias("u"), F.lit(ZERO).alias("fin")))
+        sites = own.join(v.call_nodes.distinct(), own["u"] == v.call_nodes["n"], "left_semi")
+        return _part(v.next, EDGE, "m", a="n", b="r").unionByName(_part(sites, CALL, "m", a="u")).unionByName(_part(own.join(grow, "u"), PUT, "m", "g", "u", f="fin"))
+
+    @staticmethod
+    def step(rows):
+        succ, site, put = {}, set(), set()
+        for kind, g, a, b, f in zip(rows["kind"], rows["g"], rows["a"], rows["b"], rows["f"]):
+            if kind == EDGE:
+                succ.setdefault(int(a), []).append(int(b))
+            elif kind == CALL:
+                site.add(int(a))
+            else:
+                put.add((int(g), int(a), f))
+
+        def moves(g, n, f):
+            at = n in site
+            for r in succ.get(n, ()):
+                yield r, f
+                if at and (g, r, f) in put:
+                    yield r, f"{r},{f}" if f else str(r)
+
+        return moves
+
+    def returned(self, x):
+        """A fact comes back to units that call the callee (zero to all others too) and, to an extension call that may stand
+        before it, with that call as well. Backwards, r is the call unit."""
+        real = self.view.callers.select("callee", "r", F.lit(True).alias("_real")).distinct()
+        x = x.join(real, ["callee", "r"], "left").where((F.col("f") == ZERO) | F.col("_real")).drop("_real")
         if self.ext is None:
             return x
-        first = F.substring_index("f", ",", 1).cast("long")
-        inside = self.sc.units.where("not is_head").select(F.col("n").alias("_h"))
-        e = self.ext.select(F.col("unit").alias("_h"), F.col("ext_unit").alias("_x"))
-        new = x.where((F.col("f") != ZERO) & (F.col("f") != EPSILON)).withColumn("_head", first)
-        new = new.join(inside, F.col("_head") == F.col("_h"), "left_anti").join(e, (F.col("_head") == F.col("_h")) & (F.col("r") == F.col("_x")))
-        new = new.where(~F.array_contains(F.split("f", ","), F.col("r").cast("string")))
-        return x.unionByName(new.withColumn("f", add_head(F.col("r"), F.col("f"))).select(*x.columns))
+        return x.unionByName(extended(x.where((F.col("f") != ZERO) & (F.col("f") != EPSILON)), "r", self.sc, self.ext).select(*x.columns))
 
 
-def strip(f: Column, n: Column) -> Column:
-    """f without its head where that is n."""
-    first = F.substring_index(f, ",", 1) == n.cast("string")
-    return F.when((f == ZERO) | (f == EPSILON) | ~first, f).when(~F.contains(f, F.lit(",")), F.lit(EPSILON)).otherwise(F.substring(f, F.instr(f, ",") + 1, F.length(f)))
+def extended(x: DataFrame, at: str, sc: Criteria, ext: DataFrame) -> DataFrame:
+    """Rows of x (g, f and the unit at) with at put before f, where it can extend it: f's head is no unit of the criteria but a
+    head, at extends that head, and does not stand in f yet."""
+    inside = sc.units.where("not is_head").select(F.col("g").alias("_g"), F.col("n").alias("_h"))
+    e = ext.select(F.col("unit").alias("_u"), F.col("ext_unit").alias("_x"))
+    x = x.withColumn("_head", F.substring_index("f", ",", 1).try_cast("long"))
+    new = x.join(inside, (F.col("g") == F.col("_g")) & (F.col("_head") == F.col("_h")), "left_anti").join(e, (F.col("_head") == F.col("_u")) & (F.col(at) == F.col("_x")))
+    new = new.where(~F.array_contains(F.split("f", ","), F.col(at).cast("string")))
+    return new.withColumn("f", add_head(F.col(at), F.col("f"))).drop("_head", "_u", "_x")
 
 
-class TopDown(Flows):
+class TopDown(FlowFunctions):
     """Facts are what is still to be matched; a criteria call strips itself, other calls with bodies stop what passes over."""
 
-    def __init__(self, view: GraphView, sc: Criteria, extended: bool = False):
+    def __init__(self, view: GraphView, sc: Criteria, edges: DataFrame, extended: bool = False):
+        """edges (g, m, n, r): what a group may walk."""
         super().__init__(view, sc)
-        self.strips_calls = extended
-
-    def local(self) -> DataFrame:
-        v, yes = self.view, F.lit(True)
-        own = self.sc.units.select("n")
-        x = v.next.join(v.call_nodes.distinct().withColumn("_call", yes), "n", "left").join(own.withColumn("_own", yes), "n", "left")
-        x = x.join(v.calls.select("n").distinct().withColumn("_body", yes), "n", "left")
-        op = F.when(F.col("_call").isNull(), KEEP).when(F.col("_own"), STRIP).when(F.col("_body"), DROP).otherwise(KEEP)
-        return x.select("n", "r", op.alias("op"), *_no_facts())
+        self.edges, self.strips = edges, extended
 
-
-def solve(view: GraphView, seeds: DataFrame, flows: Flows, hops: int = 3) -> DataFrame:
-    """(n, f) from seeds (m, n, f): every fact that holds at a unit on some matched path, zero included.
-
-    A round takes up to hops moves; the shuffle that each ends with is shared with the next, and rounds get fewer.
-    """
-    end = view.exits.select(F.col("n").alias("r")).distinct().withColumn("r_end", F.lit(True))
-    calls = view.calls.select(F.col("n").alias("r")).distinct().withColumn("r_calls", F.lit(True))
+    def program(self) -> DataFrame:
+        v = self.view
+        in_body = lambda df: v.next.select("m", "n").distinct().join(df, "n")
+        out = _part(self.edges, LIVE, "m", "g", "n", "r").unionByName(_part(in_body(v.call_nodes.distinct()), CALL, "m", a="n"))
+        body = v.calls.where("real").select("n").distinct()
+        return out.unionByName(_part(in_body(body), BODY, "m", a="n")).unionByName(_part(in_body(self.sc.units.select("g", "n").distinct()), OWN, "m", "g", "n"))
+
+    @staticmethod
+    def step(rows):
+        succ, call, body, own = {}, set(), set(), set()
+        for kind, g, a, b in zip(rows["kind"], rows["g"], rows["a"], rows["b"]):
+            if kind == LIVE:
+                succ.setdefault((int(g), int(a)), []).append(int(b))
+            elif kind == OWN:
+                own.add((int(g), int(a)))
+            else:
+                (call if kind == CALL else body).add(int(a))
+
+        def moves(g, n, f):
+            if n in call:
+                if (g, n) in own:
+                    f = strip_text(f, n)
+                elif n in body and f != ZERO:
+                    return ()
+            return [(r, f) for r in succ.get((g, n), ())]
+
+        return moves
+
+    def enter(self, f, n):
+        return strip(f, n) if self.strips else f
+
+    def returned(self, x):
+        """Return sites are successors, so a group's are those that it may walk to."""
+        return x.join(self.edges.select("g", "n", "r"), ["g", "n", "r"], "left_semi")
+
+
+PATH = "g long, m long, d1 string, n long, f string"
+
+
+def through_bodies(seeds: DataFrame, program: DataFrame, step) -> DataFrame:
+    """Rows (g, m, d1, n, f): seeds and all that they lead to inside their bodies."""
+
+    def run(new, rows):
+        moves, out = step(rows), []
+        for (g, m, d1), part in new.groupby(["g", "m", "d1"], sort=False):
+            seen = set(zip(part["n"].tolist(), part["f"].tolist()))
+            stack = list(seen)
+            while stack:
+                n, f = stack.pop()
+                for x in moves(g, n, f):
+                    if x not in seen:
+                        seen.add(x)
+                        stack.append(x)
+            out.append(pd.DataFrame({"g": g, "m": m, "d1": d1, "n": [x[0] for x in seen], "f": [x[1] for x in seen]}))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64" if "long" in c else "object") for c in PATH.split(", ")})
+
+    return seeds.select("g", "m", "d1", "n", "f").groupBy("m").cogroup(program.groupBy("m")).applyInPandas(run, PATH)
+
+
+def path_edges(view: GraphView, seeds: DataFrame, flows: FlowFunctions) -> DataFrame:
+    """(g, m, d1, n, f) from seeds (g, m, n, f), zero included."""
+    program = stage(flows.program())
+    blocked = flows.sc.blocked()
+    end = view.exits.select("n").distinct().withColumn("_end", F.lit(True))
+    at = view.calls.select("n").distinct().withColumn("_call", F.lit(True))
+    begin = view.starts.select(F.col("m").alias("callee"), F.col("n").alias("s"))
+    into = stage(view.calls.select("n", "callee", "p").join(begin, "callee"))
+    sites = stage(view.calls.select("n", "callee", "p").join(view.next.select("n", "r"), "n").distinct())
+    cols = ["g", "m", "d1", "n", "f", "at_end", "at_call"]
 
     def marked(x: DataFrame) -> DataFrame:
-        """With what r is: rounds then find exits and call sites among their rows without a join."""
-        x = x.join(end, "r", "left").join(calls, "r", "left")
-        return x.withColumn("r_end", F.col("r_end").isNotNull()).withColumn("r_calls", F.col("r_calls").isNotNull())
+        """With what n is: later rounds find exits and calls among their rows without a join."""
+        x = x.join(end, "n", "left").join(at, "n", "left")
+        return x.withColumn("at_end", F.col("_end").isNotNull()).withColumn("at_call", F.col("_call").isNotNull()).select(*cols)
 
-    moves, sites = stage(marked(flows.moves()).distinct()), stage(marked(flows.sites()).distinct())
-    any_call = not sites.isEmpty()
-    f, is_in = F.col("f"), F.col("callee").isNotNull()
-
-    def rows(x: DataFrame, m: Column, d1: Column, fact: Column) -> DataFrame:
-        return x.select(m.alias("m"), d1.alias("d1"), F.col("r").alias("n"), fact.alias("f"), F.col("r_end").alias("at_end"), F.col("r_calls").alias("at_call"))
+    def opened(x: DataFrame, to: DataFrame) -> DataFrame:
+        """Rows at calls with what their group enters there."""
+        return x.where("at_call").select("g", "m", "d1", "n", "f").join(to, "n").join(blocked, ["g", "p"], "left_anti")
 
     def returns(ends: DataFrame, callers: DataFrame) -> DataFrame:
-        e = ends.where("at_end").select(F.col("m").alias("callee"), F.col("d1").alias("d3"), F.col("f").alias("d4"))
-        c = callers.where("at_call").select("m", "d1", "n", "f").join(sites, "n").withColumn("d3", strip(f, F.col("n")) if flows.strips_calls else f).drop("f")
-        x = e.join(c, ["callee", "d3"]).where((F.col("d4") == ZERO) | F.col("real")).withColumn("f", F.col("d4"))
-        # zero comes back through every site, other facts through real ones
-        x = flows.returned(x.select("m", "d1", "n", "callee", "r", "f", "r_end", "r_calls"))
-        return rows(x, F.col("m"), F.col("d1"), f)
-
-    def moved(x: DataFrame) -> DataFrame:
-        x = x.select("m", "d1", "n", "f").join(moves, "n")
-        x = x.where((F.col("op") == KEEP) | (F.col("op") == STRIP) | ((F.col("op") == DROP) & (f == ZERO)) | ((F.col("op") == PUT) & (f == F.col("fin"))))
-        x = x.withColumn("f", F.when(F.col("op") == STRIP, strip(f, F.col("n"))).when(F.col("op") == PUT, F.col("fout")).otherwise(f))
-        return rows(x, F.coalesce("callee", "m"), F.when(is_in, f).otherwise(F.col("d1")), f).distinct()
+        e = ends.where("at_end").select("g", F.col("m").alias("callee"), F.col("d1").alias("d3"), F.col("f").alias("d4"))
+        c = opened(callers, sites).withColumn("d3", flows.enter(F.col("f"), F.col("n"))).drop("f")
+        x = e.join(c, ["g", "callee", "d3"]).withColumnRenamed("d4", "f")
+        return flows.returned(x.select("g", "m", "d1", "n", "callee", "p", "r", "f")).select("g", "m", "d1", F.col("r").alias("n"), "f")
 
     def step(delta: DataFrame, every: DataFrame) -> DataFrame:
-        out = x = moved(delta)
-        for _ in range(hops - 1):
-            x = moved(x)
-            out = out.unionByName(x)
-        return out.unionByName(returns(delta, every)).unionByName(returns(every, delta)) if any_call else out
+        f = flows.enter(F.col("f"), F.col("n"))
+        entered = opened(delta, into).select("g", F.col("callee").alias("m"), f.alias("d1"), F.col("s").alias("n"), f.alias("f"))
+        new = entered.unionByName(returns(delta, every)).unionByName(returns(every, delta)).distinct()
+        new = new.join(every.select("g", "m", "d1", "n", "f"), ["g", "m", "d1", "n", "f"], "left_anti")
+        return marked(through_bodies(new, program, flows.step))
+
+    first = seeds.select("g", "m", F.col("f").alias("d1"), "n", "f")
+    start = marked(through_bodies(first, program, flows.step))
+    return (fixpoint(start, step) if not sites.isEmpty() else stage(start)).select("g", "m", "d1", "n", "f")
 
-    start = rows(marked(seeds.select("m", F.col("f").alias("d1"), F.col("n").alias("r"), "f")), F.col("m"), F.col("d1"), f)
-    return fixpoint(start, step).select("n", "f").distinct()
+
+def solve(view: GraphView, seeds: DataFrame, flows: FlowFunctions) -> DataFrame:
+    """(g, n, f) from seeds (g, m, n, f): every fact that holds at a unit on some matched path, zero included."""
+    return path_edges(view, seeds, flows).select("g", "n", "f").distinct()
 
 
 @dataclass
-class BottomUpPass:
-    """What a slice's first pass leaves: the views and criteria, all facts (n, f) with zero, and units with others (n)."""
+class Passes:
+    """What a slice leaves, by group: the view and criteria; all facts (g, n, f) of the first pass with zero; units with others
+    (g, n), which are the bottom-up reachable ones; the facts that the second pass starts with (g, f); its facts; the slice's
+    units (g, n)."""
 
-    forward: GraphView
+    view: GraphView
     sc: Criteria
-    facts: DataFrame
+    bottom_up: DataFrame
     live: DataFrame
+    begin: DataFrame | None = None
+    top_down: DataFrame | None = None
+    units: DataFrame | None = None
 
 
-@dataclass
-class Slice:
-    bottom_up: DataFrame
-    top_down: DataFrame
-    units: DataFrame
+def _in_main(x: DataFrame, main: int) -> DataFrame:
+    return x.where(F.col("m") == F.lit(main))
 
 
-def _one(spark: SparkSession, main: int) -> DataFrame:
-    return spark.range(1).select(F.lit(main).cast("long").alias("m"))
+def first_pass(view: GraphView, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> Passes:
+    """Bottom up from main's ends. view is staged()."""
+    sc = criteria(sequences).staged()
+    back = backward(view).staged()
+    seeds = _in_main(view.exits, main).join(sc.units.select("g").distinct()).withColumn("f", F.lit(ZERO))  # one row a group and end of main
+    facts = stage(solve(back, seeds, BottomUp(back, sc, ext)))
+    return Passes(view, sc, facts, stage(facts.where(F.col("f") != ZERO).select("g", "n").distinct()))
 
 
-def bottom_up(cfg: DataFrame, units: DataFrame, calls: DataFrame, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> BottomUpPass:
-    """The first pass alone."""
-    sc = criteria(stage(sequences))
-    # the inputs are read in many places; what they are made of is not worked out again
-    fw = forward(stage(cfg), stage(units), stage(calls), sc).staged()
-    bw = backward(fw)
-    ends = fw.exits.join(_one(cfg.sparkSession, main), "m").withColumn("f", F.lit(ZERO))
-    bu = stage(solve(bw, ends, BottomUp(bw, sc, fw.callers, ext)))
-    return BottomUpPass(fw, sc, bu, stage(bu.where(F.col("f") != ZERO).select("n").distinct()))
+def first_facts(p: Passes, main: int = 0, extended: bool = False) -> DataFrame:
+    """(g, f): what the second pass starts with: the facts at main's first units that are whole sequences or, extended, that
+    are longest and end with one."""
+    at = p.bottom_up.join(_in_main(p.view.starts, main).select("n"), "n", "left_semi").where(F.col("f") != ZERO).select("g", "f").distinct()
+    if extended:
+        return maximal(at, p.sc.sequences)
+    return at.join(p.sc.sequences.select("g", F.col("seq").alias("f")), ["g", "f"], "left_semi")
 
 
-def slice_one_tail(cfg: DataFrame, units: DataFrame, calls: DataFrame, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> Slice:
-    """Both passes for sequences (seq) that end at one unit: facts (n, f) of either pass, and the units (n) of the slice."""
-    spark = cfg.sparkSession
-    p = bottom_up(cfg, units, calls, sequences, main, ext)
-    fw, sc, bu = p.forward, p.sc, p.facts
-    first = stage(fw.starts.join(_one(spark, main), "m"))
-    at = bu.join(first.select("n"), "n", "left_semi").select("f").distinct()
-    if ext is None:
-        begin = at.join(sc.sequences.select(F.col("seq").alias("f")), "f", "left_semi")
-    else:
-        begin = maximal(at.where(F.col("f") != ZERO), sc.sequences)
-    begin = stage(begin)
-    found = bu.where(F.col("f") != ZERO)
-    if begin.isEmpty():  # zero alone leads to no fact
-        none = spark.createDataFrame([], "n long, f string")
-        return Slice(found, none, none.select("n"))
-    # the facts that main starts with are kept once: a few, and the same at each first unit
-    begin = begin.unionByName(spark.range(1).select(F.lit(ZERO).alias("f"))).distinct()
-    seeds = first.join(F.broadcast(begin) if begin.count() < 100_000 else begin, F.lit(True), "inner")
-    tdv = only(fw, p.live)
-    td = stage(solve(tdv, seeds, TopDown(tdv, sc, ext is not None)).where(F.col("f") != ZERO))
-    got = td.join(bu, ["n", "f"], "left_semi").select("n").unionByName(td.where(F.col("f") == EPSILON).join(p.live, "n", "left_semi").select("n")).distinct()
-    return Slice(found, td, stage(got))
+def both_passes(view: GraphView, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> Passes:
+    """Both passes for all sequences (seq), and the units where their facts meet."""
+    p = first_pass(view, sequences, main, ext)
+    begin = stage(first_facts(p, main, ext is not None))
+    zero = begin.select("g").distinct().withColumn("f", F.lit(ZERO))  # zero alone leads to no fact
+    seeds = begin.unionByName(zero).join(_in_main(view.starts, main))  # main's first units: one but for handlers
+    walk = TopDown(view, p.sc, only(view, p.live), ext is not None)
+    down = stage(solve(view, seeds, walk).where(F.col("f") != ZERO))
+    met = down.join(p.bottom_up, ["g", "n", "f"], "left_semi").select("g", "n")
+    done = down.where(F.col("f") == EPSILON).join(p.live, ["g", "n"], "left_semi").select("g", "n")
+    return replace(p, begin=begin, top_down=down, units=stage(met.unionByName(done).distinct()))
 
 
 def maximal(facts: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Facts (f) that are no proper suffix of another and end with a sequence (seq). Both tests meet on the last unit."""
+    """Facts (g, f) that are no proper suffix of another and end with a sequence (g, seq). Both tests meet on the last unit."""
     last = lambda c: F.substring_index(c, ",", -1)
-    f, g = facts.withColumn("k", last("f")), facts.select(F.col("f").alias("g"), last("f").alias("k2"))
-    keep = f.join(g, (f["k"] == g["k2"]) & F.endswith(F.col("g"), F.concat(F.lit(","), F.col("f"))), "left_anti")
-    s = sequences.select("seq", last("seq").alias("k3"))
-    return keep.join(s, (keep["k"] == s["k3"]) & F.endswith(F.concat(F.lit(","), F.col("f")), F.concat(F.lit(","), F.col("seq"))), "left_semi").select("f")
+    f, g = facts.withColumn("k", last("f")), facts.select(F.col("g").alias("g2"), F.col("f").alias("f2"), last("f").alias("k2"))
+    longer = (F.col("g") == F.col("g2")) & (F.col("k") == F.col("k2")) & F.endswith(F.col("f2"), F.concat(F.lit(","), F.col("f")))
+    s = sequences.select(F.col("g").alias("g3"), "seq", last("seq").alias("k3"))
+    whole = (F.col("g") == F.col("g3")) & (F.col("k") == F.col("k3")) & F.endswith(F.concat(F.lit(","), F.col("f")), F.concat(F.lit(","), F.col("seq")))
+    return f.join(g, longer, "left_anti").join(s, whole, "left_semi").select("g", "f")
 
 
 def slices(cfg: DataFrame, units: DataFrame, calls: DataFrame, sequences: DataFrame, main: int = 0, ext: DataFrame | None = None) -> DataFrame:
-    """(tail_unit, method_id, unit_id) for all sequences (seq), one analysis per tail."""
-    s = sequences.where(F.size("seq") > 0).withColumn("tail", F.try_element_at("seq", F.lit(-1)))
-    out = cfg.sparkSession.createDataFrame([], "tail_unit long, method_id long, unit_id long")
-    for r in s.select("tail").distinct().orderBy("tail").collect():  # criteria are a text written by hand
-        got = slice_one_tail(cfg, units, calls, s.where(F.col("tail") == r["tail"]).select("seq"), main, ext).units
-        out = out.unionByName(got.join(units, got["n"] == units["unit_id"]).select(F.lit(r["tail"]).cast("long").alias("tail_unit"), "method_id", "unit_id"))
-    return out
+    """(tail_unit, method_id, unit_id) for all sequences (seq) over plain tables; plans.slicing adds views and extension."""
+    view = forward(stage(cfg), stage(units), stage(calls)).staged()
+    got = both_passes(view, stage(sequences), main, ext).units
+    return got.join(units.select("unit_id", "method_id"), F.col("n") == F.col("unit_id")).select(F.col("g").alias("tail_unit"), "method_id", "unit_id")

@@ -7,16 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import sequences as sq
 from ..functions import text
 from ..operators import dominance, extension, graph, ifds, views
-from ..operators.fixpoint import reach
+from ..operators.fixpoint import reach, stage
+from ..sinks import report
 from ..sources import criteria as sc_text
 from ..sources import events_graph as ev
+from ..sources.program import CLASS_CALL, Program, of_events
+from . import slicing
+from .oracle import ORACLE  # noqa: F401
 
 MAIN = 0
 
 
 def call_edges_filtered(spark: SparkSession, d: str) -> DataFrame:
-    c = views.allowed_calls(ev.calls(spark, d).withColumn("kind", F.lit("explicit")), ev.units(spark, d))
-    return c.select("call_unit", "callee_id")
+    return slicing.followed(of_events(spark, d))
 
 
 def callers_of_method(spark, d):
@@ -102,10 +105,22 @@ def branch_labels(spark, d):
     return dominance.branch_units(ev.layered(spark, d)).select("method_id", F.col("node").alias("unit_id"), "branch")
 
 
+def other_branch_calls(spark, d):
+    c = ev.layered(spark, d)
+    units = c.select(F.col("src").alias("unit_id")).distinct().withColumn("is_call", F.col("unit_id") % 10 == 2)
+    return dominance.other_branch_calls(c, units).select("method_id", F.col("node").alias("unit_id"), "branch")
+
+
+def immediate_dominators(spark, d):
+    return dominance.immediate_dominators(ev.cfg(spark, d))
+
+
 def blocked_callees(spark, d):
-    sc = ifds.criteria(ev.criteria(spark, d).select("seq"))
-    c = ifds.forward(ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d), sc).calls
-    return c.select(F.col("n").alias("call_unit"), F.col("callee").alias("callee_id"))
+    """Call edges by group without those of the group's own calls but its tail."""
+    sc = ifds.criteria(ev.two_tails(spark, d))
+    c = ifds.forward(ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d)).calls
+    open_ = c.join(sc.units.select("g").distinct()).join(sc.blocked(), ["g", "p"], "left_anti")  # groups: two
+    return open_.select(F.col("g").alias("tail_unit"), F.col("n").alias("call_unit"), F.col("callee").alias("callee_id"))
 
 
 def package_prefix_block(spark, d):
@@ -132,59 +147,332 @@ def follow_sets(spark, d):
 
 def maximal_facts(spark, d):
     f = _sequences(spark, d).select(F.explode(sq.suffixes(F.col("seq"))).alias("x")).select(sq.joined(F.col("x")).alias("f")).distinct()
-    ends = spark.sql("SELECT '2' AS seq UNION ALL SELECT '0,4'")
-    return ifds.maximal(f, ends)
+    ends = spark.sql("SELECT 0L AS g, '2' AS seq UNION ALL SELECT 0L, '0,4'")
+    return ifds.maximal(f.withColumn("g", F.lit(0).cast("long")), ends).select("f")
+
+
+def _bought(p: Program) -> DataFrame:
+    """(seq): of each method its first and last purchase, where they differ."""
+    x = p.units.where("is_call AND ord BETWEEN 8 AND 11").groupBy("method_id").agg(F.min("unit_id").alias("a"), F.max("unit_id").alias("b"))
+    return x.where("a <> b").select(F.array("a", "b").alias("seq"))
+
+
+def _criteria_lines(p: Program) -> DataFrame:
+    """(value): _bought() as lines, some of them twice, with full signatures or a line inside a unit's range, and bad lines."""
+    x = stage(report.criteria_texts(_bought(p), p).select("text"))
+    odd = "'', ' ', ';', ' ; ;', 'a/b/', 'X.y/P.p/3', 'X.y/P.p', '<pkg0.C0: void main(java.lang.String[])>/<lang.Api: java.lang.Object put(int)>/10;', 'pkg0.C0.main/lang.Api.put/10 ; ;pkg0.C0.main/lang.Api.put/10', 'pkg0.C0.main/lang.Api.put/12'"
+    return x.select(F.col("text").alias("value")).unionByName(x.select(F.concat(F.lit("  "), "text").alias("value"))).unionByName(spark_lines(p, odd))
+
+
+def spark_lines(p: Program, odd: str) -> DataFrame:
+    return p.units.sparkSession.sql(f"SELECT explode(array({odd})) AS value")
 
 
 def spec_resolution(spark, d):
-    """Specifications Cu.m/P.p/line, where line is the event's place in its user's chain, to purchases."""
+    """Every call's own specification, and the first unit that it names."""
+    p = of_events(spark, d)
+    return sc_text.resolve(report.call_texts(p).select(F.col("call").alias("spec")).distinct(), p.sites())
+
+
+def criteria_lines(spark, d):
+    """A criteria text with good and bad lines, over the units that main reaches."""
+    p = of_events(spark, d)
+    sites = p.sites().join(slicing.reachable_units(p, MAIN).select("unit_id"), "unit_id", "left_semi")
+    return sc_text.parse(_criteria_lines(p), sites).select("value", sq.joined(F.col("seq")).alias("units"))
+
+
+def criteria_texts(spark, d):
+    p = of_events(spark, d)
+    return report.criteria_texts(_bought(p), p).select(sq.joined(F.col("seq")).alias("units"), "text")
+
+
+def file_names(spark, d):
+    p = of_events(spark, d)
+    return report.file_names(p, p.units.where("is_call AND ord BETWEEN 8 AND 11").select(F.col("unit_id").alias("tail_unit")), True, "pkg0.C0")
+
+
+def line_numbers(spark, d):
+    u = of_events(spark, d).units
+    tags = F.when(F.col("line") == -1, F.array().cast("array<int>")).otherwise(F.array("end_line", "line"))
+    return u.select("unit_id", text.line_number(tags).cast("long").alias("line"), text.covers_line(F.col("line"), F.col("end_line"), F.lit(10)).alias("covers_10"))
+
+
+def names(spark, d):
+    c = of_events(spark, d).sites().select("class_name", "method_name").distinct()
+    dotted, full = F.concat_ws(".", "class_name", "method_name"), F.concat(F.lit("<"), "class_name", F.lit(": int "), "method_name", F.lit("(int,lang.Api)>"))
+    x = c.select(F.explode(F.array(dotted, full)).alias("name"))
+    return x.select("name", text.class_name(F.col("name")).alias("class_name"), text.method_name(F.col("name")).alias("method_name"), text.short_name(text.class_name(F.col("name"))).alias("short_name"))
+
+
+def elapsed(spark, d):
     e = ev.events(spark, d)
-    spec = e.where("t = 2 AND ord % 3 = 0").select(F.format_string("C%d.m/P.p/%d", "user_id", "ord").alias("spec")).unionByName(spark.sql("SELECT 'C0.m/P.p/' AS spec UNION ALL SELECT 'X.y/P.p/3'"))
-    units = e.where("t = 2").select(F.col("event_id").alias("unit_id"), F.col("user_id").alias("method_id"), F.col("ord"), F.col("ord").alias("line"), F.lit("P").alias("callee_class"), F.lit("p").alias("callee_name"))
-    methods = e.select(F.col("user_id").alias("method_id")).distinct().select("method_id", F.format_string("C%d", "method_id").alias("class_name"), F.lit("m").alias("name"))
-    return sc_text.resolve(spec.distinct(), methods, units)
+    return e.select("event_id", text.elapsed(F.col("event_id") * 977).alias("took"))
+
+
+def reachable_units(spark, d):
+    return slicing.reachable_units(of_events(spark, d), MAIN).select("unit_id")
+
+
+def application_units(spark, d):
+    p = of_events(spark, d)
+    return views.application_only(p.units.join(p.methods.select("method_id", "class_id"), "method_id"), p.classes).select("unit_id")
+
+
+def class_lines(spark, d):
+    return views.class_lines(of_events(spark, d).sites())
+
+
+def tagged_units(spark, d):
+    u = of_events(spark, d).units
+    tags = views.catch_units(u).withColumn("tag", F.lit("catch")).unionByName(views.new_units(u).select("unit_id", F.lit("new").alias("tag")))
+    return views.tagged(u, tags, "catch").select("unit_id")
+
+
+def non_call_end_nodes(spark, d):
+    return views.non_call_ends(ev.units(spark, d), ev.cfg(spark, d))
+
+
+def allocation_units(spark, d):
+    return views.new_units(of_events(spark, d).units)
+
+
+def class_calls(spark, d):
+    """Calls of class$ by name, and those that contain a call of that very method."""
+    p = of_events(spark, d)
+    return views.calling(p.sites(), "class$").join(views.contains_call(p.units, CLASS_CALL).select("unit_id"), "unit_id")
+
+
+def successor_kinds(spark, d):
+    p = of_events(spark, d)
+    return views.successor_kinds(p.cfg, p.units)
+
+
+def no_exception_view(spark, d):
+    p = of_events(spark, d)
+    return views.no_exception(p.cfg, p.units)
+
+
+def method_cfg(spark, d):
+    return views.method_cfg(of_events(spark, d).cfg, MAIN)
+
+
+def loops_without_catches(spark, d):
+    p = of_events(spark, d)
+    return dominance.natural_loops(p.cfg, views.catch_units(p.units))
+
+
+def loop_redirections(spark, d):
+    p = of_events(spark, d)
+    return dominance.redirections(p.cfg, views.catch_units(p.units))
+
+
+def cycle_break_inter(spark, d):
+    """What is left of the method graph; no SQL, as every cut depends on those before it."""
+    return graph.break_cycles(graph.method_graph(ev.calls(spark, d)), MAIN)
+
+
+def cycle_report(spark, d):
+    c = ev.calls(spark, d)
+    return graph.cycle_report(c, graph.cycle_cuts(graph.method_graph(c), MAIN))
+
+
+def _blocked(spark, d, **options):
+    p = of_events(spark, d)
+    spec = slicing.spec_units(ifds.criteria(_bought(p)))
+    return slicing.blocked_view(p, stage(spec), MAIN, slicing.Options(**options))
+
+
+def blocked_view_callees(spark, d):
+    return _blocked(spark, d, block_package_prefix=["pkg3", "pkg4"]).callees
+
+
+def blocked_view_callers(spark, d):
+    return _blocked(spark, d, block_package_prefix=["pkg3"], exclude_library=True).callers
+
+
+def clinit_attachments(spark, d):
+    p = of_events(spark, d)
+    return views.clinit_attachments(slicing.spec_units(ifds.criteria(_bought(p))), p.units, p.methods, p.cfg, slicing.followed(p))
+
+
+def interned_sets(spark, d):
+    """Call units by what they call: equal sets have one number."""
+    return sq.interned(ev.calls(spark, d), "call_unit", "callee_id")
+
+
+def follow_cut(spark, d):
+    """Follow sets of sequences up to the first unit that is the head of another (here: of type 1)."""
+    s = _sequences(spark, d).select("seq").distinct()
+    return sq.follow_until(s, spark.sql("SELECT 1L AS n")).select("unit_id", sq.joined(F.col("suffix")).alias("suffix"))
+
+
+def fact_heads(spark, d):
+    """Every suffix of the sequences with each unit type: whether it can lose it as a head, what is left, and of what kind."""
+    f = _sequences(spark, d).select(F.explode(sq.suffixes(F.col("seq"))).alias("seq")).distinct().crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "u")))  # five types
+    s = F.col("seq")
+    return f.select(sq.joined(s).alias("fact"), F.col("u").alias("unit_id"), sq.can_remove_head(F.col("u"), s).alias("removes"), sq.joined(sq.rest(s)).alias("rest"), sq.kind_without_head(s).cast("long").alias("kind"), sq.joined(sq.add_head(F.col("u"), s)).alias("added"), sq.proper_suffix(F.array("u"), s).alias("ends"))
+
+
+def can_extend(spark, d):
+    """Facts that each control-flow successor of their head may stand before."""
+    p = _sequences_of_units(spark, d)
+    sc = ifds.criteria(p)
+    f = sc.sequences.select("g", F.col("seq").alias("f")).unionByName(sc.follow.select("g", F.col("rest").alias("f"))).distinct()
+    ext = ev.cfg(spark, d).select(F.col("src").alias("unit"), F.col("dst").alias("ext_unit"))
+    at = ev.units(spark, d).select(F.col("unit_id").alias("at"), "method_id").join(f.withColumn("method_id", F.floor(F.substring_index("f", ",", 1).try_cast("long") / ev.WIDTH)), "method_id")
+    return ifds.extended(at.select("g", "f", "at"), "at", sc, ext).select(F.col("g").alias("tail_unit"), F.col("at").alias("unit_id"), F.col("f").alias("fact"))
+
+
+def _sequences_of_units(spark, d):
+    """(seq): of each method, its smallest and largest unit and the one in the middle of its types."""
+    u = ev.units(spark, d).where("ord < 20").groupBy("method_id").agg(F.min("unit_id").alias("a"), F.max("unit_id").alias("b"), F.min(F.when(F.col("ord") >= 8, F.col("unit_id"))).alias("c"))
+    return u.where("c IS NOT NULL AND a <> b AND a <> c AND b <> c").select(F.array("a", "c", "b").alias("seq"))
+
+
+def dispatch(spark, d):
+    p = of_events(spark, d)
+    return views.dispatch(p.methods, p.supers)
+
+
+def constructor_calls(spark, d):
+    p = of_events(spark, d)
+    return extension.constructor_calls(views.new_units(p.units), p.cfg, extension.constructors(extension.with_declared(p)))
+
+
+def allocations(spark, d):
+    return extension.allocations(extension.with_declared(of_events(spark, d)))
+
+
+def method_extensions(spark, d):
+    p = of_events(spark, d)
+    return extension.method_extensions(p, slicing.followed(p))
+
+
+def labels(spark, d):
+    p = of_events(spark, d)
+    return extension.labels(p, slicing.followed(p), MAIN)
+
+
+def branch_or_virtual(spark, d):
+    p = of_events(spark, d)
+    branch = dominance.branch_units(p.cfg).select(F.col("node").alias("unit_id"))
+    clinit = p.methods.where("name = '<clinit>'").select(F.col("method_id").alias("callee_id"))
+    return extension.in_branch_or_virtual(slicing.followed(p), p.units, branch, clinit)
+
+
+def _extension(spark, d, **how):
+    p = of_events(spark, d)
+    c = stage(slicing.followed(p))
+    sc = ifds.criteria(_bought(p))
+    return extension.extension(p, c, c, sc.units.select("n").distinct(), sc.units.where("is_head").select("n").distinct(), MAIN, **how)
+
+
+def extension_relation(spark, d):
+    return _extension(spark, d)
+
+
+def extension_without_library(spark, d):
+    return _extension(spark, d, no_library=True)
+
+
+def polymorphic_virtual(spark, d):
+    """Virtual and interface calls with several callees that are no class initialisers."""
+    p = of_events(spark, d)
+    clinit = p.methods.where("name = '<clinit>'").select(F.col("method_id").alias("callee_id"))
+    x = extension.polymorphic(slicing.followed(p), clinit)
+    return x.join(p.units.where(F.col("invoke_kind").isin("virtual", "interface")).select(F.col("unit_id").alias("call_unit")), "call_unit", "left_semi")
 
 
 def polymorphic_calls(spark, d):
     return extension.polymorphic(ev.calls(spark, d))
 
 
-def _seeded(spark, d):
-    return ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d), ev.criteria(spark, d)
+def _view(spark, d, acyclic: bool = False) -> ifds.GraphView:
+    return ifds.forward(stage(ev.cfg(spark, d)), stage(ev.units(spark, d)), stage(ev.calls(spark, d, acyclic))).staged()
+
+
+def _facts(x: DataFrame) -> DataFrame:
+    return x.where(F.col("f") != ifds.ZERO).select(F.col("g").alias("tail_unit"), F.col("n").alias("unit_id"), F.col("f").alias("fact"))
 
 
 def bu_facts(spark, d):
-    c, u, k, s = _seeded(spark, d)
-    return ifds.bottom_up(c, u, k, s.select("seq"), MAIN).facts.where(F.col("f") != ifds.ZERO).select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+    return _facts(ifds.first_pass(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN).bottom_up)
 
 
 def td_facts(spark, d):
-    c, u, k, s = _seeded(spark, d)
-    return ifds.slice_one_tail(c, u, k, s.select("seq"), MAIN).top_down.select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+    return _facts(ifds.both_passes(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN).top_down)
+
+
+def _intra(spark, d) -> ifds.GraphView:
+    """Without call edges: every call is one without a body."""
+    none = spark.createDataFrame([], "call_unit long, callee_id long")
+    return ifds.forward(stage(ev.cfg(spark, d)), stage(ev.units(spark, d)), none).staged()
 
 
 def bu_facts_intra(spark, d):
-    """The backward facts where no call has a body: per method's own flow, of main."""
-    c, u, k, s = _seeded(spark, d)
-    return ifds.bottom_up(c, u, k.limit(0), s.select("seq"), MAIN).facts.where(F.col("f") != ifds.ZERO).select(F.col("n").alias("unit_id"), F.col("f").alias("fact"))
+    return _facts(ifds.first_pass(_intra(spark, d), stage(ev.two_tails(spark, d)), MAIN).bottom_up)
+
+
+def td_facts_intra(spark, d):
+    return _facts(ifds.both_passes(_intra(spark, d), stage(ev.two_tails(spark, d)), MAIN).top_down)
+
+
+def bottom_up_reachable(spark, d):
+    """Units that the first pass touches, and whether it brings them a fact."""
+    x = ifds.first_pass(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN).bottom_up
+    return x.groupBy(F.col("g").alias("tail_unit"), F.col("n").alias("unit_id")).agg(F.max(F.col("f") != ifds.ZERO).alias("live"))
+
+
+def top_down_view(spark, d):
+    p = ifds.first_pass(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN)
+    return views.top_down_edges(ev.cfg(spark, d), p.live.select(F.col("n").alias("unit_id")).distinct())
+
+
+def initial_facts(spark, d):
+    return ifds.first_facts(ifds.first_pass(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN), MAIN).select(F.col("g").alias("tail_unit"), F.col("f").alias("fact"))
 
 
 def slice_(spark, d):
-    c, u, k, s = _seeded(spark, d)
-    return ifds.slices(c, u, k, s, MAIN)
+    return ifds.slices(ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d), ev.two_tails(spark, d), MAIN)
+
+
+def slice_acyclic(spark, d):
+    return ifds.slices(ev.cfg(spark, d), ev.units(spark, d), ev.calls(spark, d, acyclic=True), ev.two_tails(spark, d), MAIN)
 
 
 def slice_infeasible(spark, d):
-    """Ends at main's entry, which nothing stands before: no rows."""
-    c, u, k, _ = _seeded(spark, d)
-    s = spark.sql(f"SELECT array({ev.WIDTH * MAIN + 8}L, {ev.WIDTH * MAIN + 20}L) AS seq")
-    return ifds.slices(c, u.withColumn("is_call", F.col("is_call") | (F.col("unit_id") == ev.WIDTH * MAIN + 20)), k, s, MAIN)
+    """Without recursion nothing follows main's exit, so nothing can be called after it: no rows."""
+    last = ev.WIDTH * MAIN + 21
+    u = ev.units(spark, d).withColumn("is_call", F.col("is_call") | (F.col("unit_id") == last))
+    s = ev.two_tails(spark, d).select(F.array(F.lit(last).cast("long"), F.element_at("seq", -1)).alias("seq")).distinct()
+    return ifds.slices(ev.cfg(spark, d), u, ev.calls(spark, d, acyclic=True), s, MAIN)
 
 
 def slice_report(spark, d):
-    """Report lines of every method's units, as written to a slice file."""
-    u = ev.units(spark, d)
-    return u.select(F.format_string("M%05d", "method_id").alias("signature"), "unit_id", text.unit_text(F.concat(F.lit("u"), F.col("unit_id").cast("string")), F.col("ord")).alias("line"))
+    """The lines of the slice files."""
+    p = of_events(spark, d)
+    x = report.lines(stage(slice_(spark, d)), p)
+    return x.select("tail_unit", F.col("pos").cast("long").alias("pos"), "line")
+
+
+def fact_dump(spark, d):
+    x = ifds.first_pass(_view(spark, d), stage(ev.two_tails(spark, d)), MAIN).bottom_up.where(F.col("f") != ifds.ZERO).select("n", "f").distinct()
+    return report.facts(x, of_events(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def slice_program(spark, d):
+    """A slice of the whole program by the command line's way: followed calls, blocked view, extension."""
+    return slicing.slices(of_events(spark, d), ev.two_tails(spark, d), slicing.Options(), MAIN)
+
+
+def slice_blocked(spark, d):
+    """The same without extension, and with packages and the library left out."""
+    return slicing.slices(of_events(spark, d), ev.two_tails(spark, d), slicing.Options(extend_sc=False, exclude_library=True, block_package_prefix=["pkg3"]), MAIN)
+
+
+def slice_without_cycles(spark, d):
+    """The same with cycles broken; no SQL, see cycle_break_inter."""
+    return slicing.slices(of_events(spark, d), ev.two_tails(spark, d), slicing.Options(extend_sc=False, retain_cycle=False), MAIN)
 
 
 def extension_contract(spark, d):
@@ -196,88 +484,14 @@ def extension_contract(spark, d):
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
-        call_edges_filtered, callers_of_method, return_sites, start_end_points, reversed_icfg_calls, non_call_start_nodes, method_call_graph, reachable_methods,
-        class_closure, scc_members, true_sccs, cycle_labels_inter, dominators, post_dominators, back_edges, natural_loops, loop_exits, loop_labels, cycle_break_intra,
-        branch_labels, blocked_callees, package_prefix_block, sc_group_by_tail, follow_sets, maximal_facts, spec_resolution, polymorphic_calls, bu_facts_intra, bu_facts,
-        td_facts, slice_, slice_infeasible, slice_report, extension_contract,
+        call_edges_filtered, callers_of_method, return_sites, start_end_points, reversed_icfg_calls, non_call_start_nodes, non_call_end_nodes, method_call_graph,
+        reachable_methods, reachable_units, class_closure, scc_members, true_sccs, cycle_labels_inter, dominators, post_dominators, immediate_dominators, back_edges,
+        natural_loops, loops_without_catches, loop_exits, loop_redirections, loop_labels, cycle_break_intra, cycle_break_inter, cycle_report, branch_labels,
+        other_branch_calls, blocked_callees, blocked_view_callees, blocked_view_callers, clinit_attachments, package_prefix_block, application_units, class_lines,
+        tagged_units, allocation_units, class_calls, successor_kinds, no_exception_view, method_cfg, sc_group_by_tail, follow_sets, follow_cut, interned_sets, fact_heads,
+        can_extend, maximal_facts, spec_resolution, criteria_lines, criteria_texts, file_names, line_numbers, names, elapsed, polymorphic_calls, polymorphic_virtual,
+        dispatch, constructor_calls, allocations, method_extensions, labels, branch_or_virtual, extension_relation, extension_without_library, extension_contract,
+        bu_facts_intra, td_facts_intra, bu_facts, td_facts, bottom_up_reachable, top_down_view, initial_facts, slice_, slice_acyclic, slice_infeasible, slice_report,
+        fact_dump, slice_program, slice_blocked, slice_without_cycles,
     )
 }
-
-_BASE = """WITH RECURSIVE ev AS (
-  SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS t,
-         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
-st AS (SELECT *, user_id * 22 + t * 4 + k % 4 AS u FROM ev),
-nx AS (SELECT *, lead(u) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM st),
-cfg AS (SELECT DISTINCT user_id AS m, u AS src, coalesce(nxt, user_id * 22 + 21) AS dst FROM nx UNION SELECT DISTINCT user_id, user_id * 22 + 20, u FROM nx WHERE ord = 1),
-un AS (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st),
-ca AS (SELECT DISTINCT u AS n, k AS callee, user_id AS m FROM st WHERE t = 0 AND k IN (SELECT user_id FROM st)),
-mg AS (SELECT DISTINCT m AS src, callee AS dst FROM ca),
-l0 AS (SELECT *, user_id // 2 AS m, (user_id // 2) * 1000 + ord * 10 + t AS n FROM ev WHERE ord <= 8),
-l1 AS (SELECT *, lead(n) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM l0),
-lay AS (SELECT DISTINCT m, n AS src, coalesce(nxt, m * 1000 + 999) AS dst FROM l1 UNION SELECT DISTINCT m, m * 1000, n FROM l1 WHERE ord = 1)
-"""
-_CLOSURE = ", cl(src, dst) AS (SELECT src, dst FROM mg UNION SELECT cl.src, mg.dst FROM cl JOIN mg ON cl.dst = mg.src)"
-_SCC = _CLOSURE + """, nd AS (SELECT src AS n FROM mg UNION SELECT dst FROM mg),
-same AS (SELECT a.src AS x, a.dst AS y FROM cl a JOIN cl b ON a.src = b.dst AND a.dst = b.src),
-sc AS (SELECT n, greatest(n, coalesce((SELECT max(y) FROM same WHERE x = n), n)) AS root FROM nd)"""
-
-
-def _dominator_sql(edges: str, a: str, b: str) -> str:
-    """d dominates n if n is out of reach from the method's heads once d is taken away."""
-    return f""", g AS (SELECT DISTINCT m, {a} AS src, {b} AS dst FROM {edges}),
-gn AS (SELECT m, src AS n FROM g UNION SELECT m, dst FROM g),
-hd AS (SELECT m, n FROM gn WHERE n NOT IN (SELECT dst FROM g)),
-wo(m, d, n) AS (SELECT hd.m, x.n, hd.n FROM hd JOIN gn x ON x.m = hd.m WHERE x.n <> hd.n UNION SELECT wo.m, wo.d, g.dst FROM wo JOIN g ON g.src = wo.n WHERE g.dst <> wo.d),
-rc(m, n) AS (SELECT m, n FROM hd UNION SELECT g.m, g.dst FROM rc JOIN g ON g.src = rc.n),
-dom AS (SELECT r.m, r.n, x.n AS d FROM rc r JOIN gn x ON x.m = r.m WHERE NOT EXISTS (SELECT 1 FROM wo WHERE wo.m = r.m AND wo.d = x.n AND wo.n = r.n))"""
-
-
-_LOOP = _dominator_sql("cfg", "src", "dst") + """, bk AS (SELECT g.m, g.src, g.dst FROM g JOIN dom ON dom.n = g.src AND dom.d = g.dst),
-lp(m, h, n) AS (SELECT m, dst, src FROM bk UNION SELECT lp.m, lp.h, g.src FROM lp JOIN g ON g.dst = lp.n WHERE lp.n <> lp.h),
-lb AS (SELECT m, h, n FROM lp UNION SELECT m, dst, dst FROM bk)"""
-_EXIT = _LOOP + """, px AS (SELECT DISTINCT lb.m, lb.h, g.dst AS x FROM lb JOIN g ON g.src = lb.n WHERE NOT EXISTS (SELECT 1 FROM lb o WHERE o.h = lb.h AND o.n = g.dst)),
-pd AS (SELECT px.*, dom.d IS NOT NULL AS up FROM px LEFT JOIN dom ON dom.n = px.h AND dom.d = px.x),
-ex(m, h, x, up) AS (SELECT m, h, x, up FROM pd UNION SELECT ex.m, ex.h, p.x, EXISTS (SELECT 1 FROM dom WHERE dom.n = p.h AND dom.d = p.x) FROM ex JOIN pd p ON p.h = ex.x WHERE ex.up),
-le AS (SELECT DISTINCT m, h, x FROM ex WHERE NOT up)"""
-_SEQ = """, sq AS (SELECT user_id, (ord - 1) // 4 AS part, list(CAST(t AS BIGINT) ORDER BY ord) AS seq FROM ev GROUP BY ALL)"""
-_CRIT = """, pu AS (SELECT user_id, min(u) AS lo, max(u) AS hi FROM st WHERE t = 2 GROUP BY user_id), mp AS (SELECT lo, hi FROM pu WHERE user_id = 0),
-cr AS (SELECT DISTINCT h, lo AS tail FROM (SELECT pu.lo AS h, mp.lo FROM pu, mp WHERE pu.user_id IN (SELECT callee FROM ca WHERE m = 0) UNION SELECT hi, lo FROM mp) WHERE h <> lo)"""
-
-ORACLE = {
-    "call_edges_filtered": _BASE + "SELECT DISTINCT n AS call_unit, callee AS callee_id FROM ca",
-    "callers_of_method": _BASE + "SELECT callee AS callee_id, count(*) AS n_callers, min(n) AS first_caller FROM ca GROUP BY callee",
-    "return_sites": _BASE + "SELECT DISTINCT dst AS unit_id FROM cfg WHERE src IN (SELECT u FROM un WHERE c)",
-    "start_end_points": _BASE + "SELECT DISTINCT m AS method_id, src AS unit_id, 'start' AS point FROM lay WHERE src NOT IN (SELECT dst FROM lay) UNION ALL SELECT DISTINCT m, dst, 'end' FROM lay WHERE dst NOT IN (SELECT src FROM lay)",
-    "reversed_icfg_calls": _BASE + "SELECT DISTINCT cfg.dst AS call_unit, callee AS callee_id FROM ca JOIN cfg ON cfg.src = ca.n",
-    "non_call_start_nodes": _BASE + "SELECT u AS unit_id FROM un WHERE NOT c AND u IN (SELECT dst FROM cfg)",
-    "method_call_graph": _BASE + "SELECT src, dst FROM mg",
-    "reachable_methods": _BASE + ", r(n) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN mg ON src = n) SELECT n AS method_id FROM r",
-    "class_closure": "WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS c, CAST(n_regionkey + 1000 AS BIGINT) AS p FROM nation) SELECT c AS class_id, p AS super_id FROM s UNION SELECT c, c FROM s UNION SELECT p, p FROM s",
-    "scc_members": _BASE + _SCC + " SELECT n AS method_id, root AS scc, count(*) OVER (PARTITION BY root) AS n FROM sc",
-    "true_sccs": _BASE + _SCC + " SELECT n AS method_id, root AS scc FROM sc WHERE n IN (SELECT src FROM cl WHERE src = dst)",
-    "cycle_labels_inter": _BASE + _CLOSURE + ", b AS (SELECT src AS n FROM cl WHERE src = dst) SELECT n AS method_id FROM b UNION SELECT cl.dst FROM cl JOIN b ON cl.src = b.n",
-    "dominators": _BASE + _dominator_sql("cfg", "src", "dst") + " SELECT m AS method_id, n AS node, d AS dom FROM dom",
-    "post_dominators": _BASE + _dominator_sql("lay", "dst", "src") + " SELECT m AS method_id, n AS node, d AS dom FROM dom",
-    "back_edges": _BASE + _LOOP + " SELECT m AS method_id, src, dst FROM bk",
-    "natural_loops": _BASE + _LOOP + " SELECT DISTINCT m AS method_id, h AS header, n AS node FROM lb",
-    "loop_exits": _BASE + _EXIT + ' SELECT m AS method_id, h AS header, x AS "exit" FROM le',
-    "loop_labels": _BASE + _LOOP + ", r(n) AS (SELECT callee FROM ca WHERE ca.n IN (SELECT lb.n FROM lb) UNION SELECT dst FROM r JOIN mg ON src = r.n) SELECT n AS method_id FROM r",
-    "cycle_break_intra": _BASE + _EXIT + " SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.src = g.src AND bk.dst = g.dst) UNION SELECT bk.src, le.x FROM bk JOIN le ON le.h = bk.dst",
-    "blocked_callees": _BASE + _CRIT + " SELECT DISTINCT n AS call_unit, callee AS callee_id FROM ca WHERE n NOT IN (SELECT h FROM cr WHERE h NOT IN (SELECT tail FROM cr))",
-    "package_prefix_block": _BASE + "SELECT n AS call_unit, callee AS callee_id, 'pkg' || (callee % 7) AS package FROM ca WHERE NOT starts_with('pkg' || (callee % 7), 'pkg5') AND NOT starts_with('pkg' || (callee % 7), 'pkg6')",
-    "sc_group_by_tail": _BASE + _SEQ + " SELECT seq[-1] AS tail, count(*) AS n_sequences, count(DISTINCT seq) AS n_distinct, count(DISTINCT seq[1]) AS n_heads FROM sq GROUP BY seq[-1]",
-    "follow_sets": _BASE + _SEQ + " SELECT DISTINCT seq[i] AS unit_id, array_to_string(seq[i + 1:], ',') AS suffix FROM (SELECT seq, unnest(generate_series(1, len(seq) - 1)) AS i FROM sq)",
-    "maximal_facts": _BASE + _SEQ + ", f AS (SELECT DISTINCT array_to_string(seq[i:], ',') AS f FROM (SELECT seq, unnest(generate_series(1, len(seq))) AS i FROM sq)) SELECT f FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE ends_with(g.f, ',' || f.f)) AND (ends_with(',' || f, ',2') OR ends_with(',' || f, ',0,4'))",
-    "spec_resolution": _BASE + "SELECT 'C' || user_id || '.m/P.p/' || ord AS spec, event_id AS unit_id FROM ev WHERE t = 2 AND ord % 3 = 0",
-    "polymorphic_calls": _BASE + "SELECT n AS call_unit, count(DISTINCT callee) AS n_callees FROM ca GROUP BY n HAVING count(DISTINCT callee) > 1",
-    "bu_facts_intra": _BASE + _CRIT + """, one AS (SELECT tail FROM cr LIMIT 1),
-r(n, f) AS (SELECT CAST(21 AS BIGINT), '' UNION
-  SELECT cfg.src, CASE WHEN k.i = 0 THEN r.f WHEN r.f = '' THEN CAST(cfg.src AS VARCHAR) ELSE cfg.src || ',' || r.f END FROM r JOIN cfg ON cfg.dst = r.n, (SELECT 0 AS i UNION ALL SELECT 1) k
-  WHERE k.i = 0 OR (r.f = '' AND cfg.src IN (SELECT tail FROM one)) OR (r.f = CAST((SELECT tail FROM one) AS VARCHAR) AND cfg.src IN (SELECT h FROM cr)))
-SELECT n AS unit_id, f AS fact FROM r WHERE f <> ''""",
-    "slice_report": _BASE + "SELECT 'M' || lpad(CAST(m AS VARCHAR), 5, '0') AS signature, u AS unit_id, '  u' || u || ' {line: ' || (u % 22) || '}' AS line FROM un",
-    "slice_infeasible": "SELECT CAST(0 AS BIGINT) AS tail_unit, CAST(0 AS BIGINT) AS method_id, CAST(0 AS BIGINT) AS unit_id WHERE false",
-    "extension_contract": _BASE + """, ul AS (SELECT n FROM (SELECT src AS n FROM mg UNION SELECT dst FROM mg) WHERE n % 3 = 1),
-w(s, n) AS (SELECT src, dst FROM mg WHERE src NOT IN (SELECT n FROM ul) UNION SELECT w.s, mg.dst FROM w JOIN mg ON mg.src = w.n WHERE w.n IN (SELECT n FROM ul))
-SELECT DISTINCT s AS src, n AS dst FROM w WHERE n NOT IN (SELECT n FROM ul) AND s <> n""",
-}

@@ -20,14 +20,14 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("dst", F.lead("event_id").over(w)).where("dst is not null").select(F.col("event_id").alias("src"), "dst", F.col("user_id").alias("method_id"))
 
 
-def _state(e: DataFrame) -> DataFrame:
+def state(e: DataFrame) -> DataFrame:
     return e.withColumn("unit", F.col("user_id") * WIDTH + F.col("t") * 4 + F.col("k") % 4)
 
 
 def cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-2: distinct (src, dst, method_id) between states, from the entry and to the exit."""
     w = Window.partitionBy("user_id").orderBy("ord")
-    e = _state(events(spark, sf_dir)).withColumn("next", F.lead("unit").over(w))
+    e = state(events(spark, sf_dir)).withColumn("next", F.lead("unit").over(w))
     m = F.col("user_id")
     edges = F.array(
         F.when(F.col("ord") == 1, F.struct((m * WIDTH + 20).alias("src"), F.col("unit").alias("dst"))),
@@ -38,7 +38,7 @@ def cfg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-2: unit_id, method_id, ord, is_call; clicks and purchases are calls, purchases never have a body."""
-    s = _state(events(spark, sf_dir)).select("unit", "user_id").distinct()
+    s = state(events(spark, sf_dir)).select("unit", "user_id").distinct()
     ends = s.select("user_id").distinct().select(F.explode(F.array(F.col("user_id") * WIDTH + 20, F.col("user_id") * WIDTH + 21)).alias("unit"), "user_id")
     ordinal = F.col("unit_id") % WIDTH
     kind = F.floor(ordinal / 4)
@@ -48,7 +48,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str, acyclic: bool = False) -> DataFrame:
     """FX-3 on FX-2 units: distinct (call_unit, callee_id, method_id) of clicks whose k is a user."""
-    e = _state(events(spark, sf_dir)).where("t = 0")
+    e = state(events(spark, sf_dir)).where("t = 0")
     users = e.sparkSession.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("callee_id")).distinct()
     c = e.select(F.col("unit").alias("call_unit"), F.col("k").alias("callee_id"), F.col("user_id").alias("method_id")).distinct().join(users, "callee_id", "left_semi")
     c = c.where(F.col("callee_id") > F.col("method_id")) if acyclic else c
@@ -70,10 +70,16 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq): sequences over FX-2 that end at main's first purchase: its last purchase before it, and the first
     purchase of each method that main calls."""
-    p = _state(events(spark, sf_dir)).where("t = 2").groupBy("user_id").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    p = state(events(spark, sf_dir)).where("t = 2").groupBy("user_id").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
     main = p.where("user_id = 0").select(F.col("low").alias("tail"), "high")
     callee = calls(spark, sf_dir).where("method_id = 0").select(F.col("callee_id").alias("user_id")).distinct()
     # main is one row
     heads = p.join(callee, "user_id").select(F.col("low").alias("h")).crossJoin(F.broadcast(main)).select("h", "tail")
     heads = heads.unionByName(main.select(F.col("high").alias("h"), "tail")).where("h <> tail").distinct()
     return heads.select(F.col("h").alias("seq_id"), F.array("h", "tail").alias("seq"))
+
+
+def two_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq): criteria(), and main's first purchase before its last one, a second group."""
+    p = state(events(spark, sf_dir)).where("t = 2 AND user_id = 0").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    return criteria(spark, sf_dir).select("seq").unionByName(p.where("low <> high").select(F.array("low", "high").alias("seq")))

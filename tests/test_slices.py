@@ -17,15 +17,36 @@ PROGRAMS = {
 }
 
 
-@pytest.mark.parametrize("name", ["wrong order", "branch", "context"])
-def test_slice(spark, name):
-    edges, methods, is_call, calls, seq, want = PROGRAMS[name]
-    own = {u: m for m, us in methods.items() for u in us}
-    cfg = spark.createDataFrame([(a, b, own[a]) for a, b in edges], "src long, dst long, method_id long")
-    units = spark.createDataFrame([(u, m, u in is_call) for u, m in own.items()], "unit_id long, method_id long, is_call boolean")
-    c = spark.createDataFrame(calls, "call_unit long, callee_id long")
-    got = ifds.slice_one_tail(cfg, units, c, spark.createDataFrame([(list(seq),)], "seq array<bigint>"))
-    assert {r.n for r in got.units.collect()} == want
+PROGRAMS |= {
+    "two calls": ([(0, 1), (1, 2), (2, 3), (10, 11), (10, 12), (11, 13), (12, 13)], {0: range(4), 1: range(10, 14)}, [0, 1, 2, 11], [(0, 1), (1, 1)], (11, 2), {0, 1, 2, 10, 11, 12, 13}),
+    "tail with a body": ([(0, 1), (1, 2), (20, 21)], {0: range(3), 2: [20, 21]}, [0, 1], [(1, 2)], (0, 1), {0, 1}),
+}
+
+
+def test_slices(spark):
+    """All programs in one run: their units and methods are numbered apart, and every main is called by one common main."""
+    cfg, units, calls, seqs, want = [], [], [], [], {}
+    shift = lambda k, x: 1000 * (k + 1) + x
+    mains = []
+    for k, (edges, methods, is_call, call_edges, seq, slice_) in enumerate(PROGRAMS.values()):
+        own = {u: m for m, us in methods.items() for u in us}
+        cfg += [(shift(k, a), shift(k, b)) for a, b in edges]
+        units += [(shift(k, u), shift(k, m), u in is_call) for u, m in own.items()]
+        calls += [(shift(k, u), shift(k, m)) for u, m in call_edges]
+        seqs.append(([shift(k, u) for u in seq],))
+        want[shift(k, seq[-1])] = {shift(k, u) for u in slice_}
+        mains.append(shift(k, 0))
+    # a common main that calls each program once, on one side of a branch each
+    units += [(1, 0, False), (999, 0, False)] + [(2 + i, 0, True) for i in range(len(mains))]
+    cfg += [(1, 2 + i) for i in range(len(mains))] + [(2 + i, 999) for i in range(len(mains))]
+    calls += [(2 + i, m) for i, m in enumerate(mains)]
+    f = lambda rows, cols: spark.createDataFrame(rows, cols)
+    got = ifds.slices(f(cfg, "src long, dst long"), f(units, "unit_id long, method_id long, is_call boolean"), f(calls, "call_unit long, callee_id long"), f(seqs, "seq array<bigint>"))
+    have: dict = {}
+    for r in got.collect():
+        have.setdefault(r.tail_unit, set()).add(r.unit_id)
+    for i, (tail, w) in enumerate(want.items()):
+        assert (list(PROGRAMS)[i], have.get(tail, set())) == (list(PROGRAMS)[i], w | {1, 2 + i} if w else set())
 
 
 def test_break_cycles(spark):
@@ -34,7 +55,7 @@ def test_break_cycles(spark):
     assert {tuple(r) for r in got.collect()} == {(0, 1), (1, 2), (2, 3)} and graph.true_sccs(got).isEmpty()
 
 
-SLOW = {"bu_facts_intra", "slice_infeasible"}
+SLOW = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLE) - SLOW))
