@@ -3,10 +3,10 @@
 A path edge (g, m, d1, n, f) says that, for the criteria that end at g, fact f holds at n of method m if d1 held at m's entry.
 Facts are strings: '' is zero, 'e' epsilon, else unit ids joined by commas. All groups of criteria are solved at once.
 
-A round carries new facts through whole bodies (a body is bounded, its facts are those of its own entries, so each body is
-one group), then into callees and back to callers by joins: rounds follow the depth of calls, not the length of paths.
-They are semi-naive; returns join new exits with all callers and all exits with new callers. Zero always goes along and
-never counts as a result.
+Methods are dealt to parts of about ``PART_UNITS`` units. A round carries new facts through each part, calls and returns
+inside it included, until the part has no more to say; then joins carry facts over calls and returns between parts. So
+rounds follow how often paths change parts, not how long they are. They are semi-naive; returns join new exits with all
+callers and all exits with new callers. Zero always goes along and never counts as a result.
 """
 
 from __future__ import annotations
@@ -106,13 +106,14 @@ def only(v: GraphView, units: DataFrame) -> DataFrame:
     return v.next.join(units.select("g", F.col("n").alias("r")), "r").select("g", "m", "n", "r")
 
 
-EDGE, CALL, BODY, PUT, OWN, LIVE = range(6)
-PROGRAM = ["m", "kind", "g", "a", "b", "f"]
+EDGE, CALL, BODY, PUT, OWN, LIVE, ENTER, BACK, END, EXT = range(10)
+PROGRAM = ["m", "kind", "g", "a", "b", "f", "callee", "p", "real"]
+PART_UNITS = 100_000
 
 
-def _part(df: DataFrame, kind: int, m, g=None, a=None, b=None, f=None) -> DataFrame:
+def _part(df: DataFrame, kind: int, m, g=None, a=None, b=None, f=None, callee=None, p=None, real=None) -> DataFrame:
     col = lambda x, t: (F.lit(None) if x is None else F.col(x)).cast(t)
-    return df.select(F.col(m).alias("m"), F.lit(kind).alias("kind"), col(g, "long").alias("g"), col(a, "long").alias("a"), col(b, "long").alias("b"), col(f, "string").alias("f"))
+    return df.select(F.col(m).alias("m"), F.lit(kind).alias("kind"), col(g, "long").alias("g"), col(a, "long").alias("a"), col(b, "long").alias("b"), col(f, "string").alias("f"), col(callee, "long").alias("callee"), col(p, "long").alias("p"), col(real, "boolean").alias("real"))
 
 
 class FlowFunctions:
@@ -131,9 +132,28 @@ class FlowFunctions:
         """(g, n, f) -> list of (r, f)."""
         raise NotImplementedError
 
+    strips = False  # call flow: a call that is the fact's head goes off it
+    ext: DataFrame | None = None
+
     def enter(self, f: Column, n: Column) -> Column:
         """Call flow: the fact at the callee's entry."""
-        return f
+        return strip(f, n) if self.strips else f
+
+    def sites(self) -> DataFrame:
+        """(g, m, n, callee, p, r, real): where calls come back to; g is null for all groups; real: all facts, else zero alone."""
+        v = self.view
+        return v.calls.select("n", "callee", "p").join(v.next, "n").select(F.lit(None).cast("long").alias("g"), "m", "n", "callee", "p", "r", F.lit(True).alias("real")).distinct()
+
+    def calling(self) -> DataFrame:
+        """Rows of PROGRAM that a part needs to follow calls inside it."""
+        v = self.view
+        begin = v.starts.select(F.col("m").alias("callee"), F.col("n").alias("s"))
+        inside = v.next.select("m", "n").distinct().join(v.calls.select("n", "callee", "p").distinct(), "n").join(begin, "callee")
+        out = _part(inside, ENTER, "m", a="n", b="s", callee="callee", p="p").unionByName(_part(self.sites(), BACK, "m", "g", "n", "r", callee="callee", p="p", real="real")).unionByName(_part(v.exits, END, "m", a="n"))
+        if self.ext is None:
+            return out
+        at = v.next.select("m", F.col("r").alias("ext_unit")).distinct()
+        return out.unionByName(_part(self.ext.join(at, "ext_unit"), EXT, "m", a="unit", b="ext_unit"))
 
     def returned(self, x: DataFrame) -> DataFrame:
         """Return flow: x (g, m, d1, n, callee, p, r, f) with what holds at r."""
@@ -174,7 +194,7 @@ class BottomUp(FlowFunctions):
                 succ.setdefault(int(a), []).append(int(b))
             elif kind == CALL:
                 site.add(int(a))
-            else:
+            elif kind == PUT:
                 put.add((int(g), int(a), f))
 
         def moves(g, n, f):
@@ -186,6 +206,10 @@ class BottomUp(FlowFunctions):
 
         return moves
 
+    def sites(self):
+        real = self.view.callers.select("callee", "r", F.lit(True).alias("_real")).distinct()
+        return super().sites().drop("real").join(real, ["callee", "r"], "left").select("g", "m", "n", "callee", "p", "r", F.col("_real").isNotNull().alias("real"))
+
     def returned(self, x):
         """A fact comes back to units that call the callee (zero to all others too) and, to an extension call that may stand
         before it, with that call as well. Backwards, r is the call unit."""
@@ -230,7 +254,7 @@ class TopDown(FlowFunctions):
                 succ.setdefault((int(g), int(a)), []).append(int(b))
             elif kind == OWN:
                 own.add((int(g), int(a)))
-            else:
+            elif kind in (CALL, BODY):
                 (call if kind == CALL else body).add(int(a))
 
         def moves(g, n, f):
@@ -243,56 +267,139 @@ class TopDown(FlowFunctions):
 
         return moves
 
-    def enter(self, f, n):
-        return strip(f, n) if self.strips else f
+    def sites(self):
+        return super().sites().drop("g").join(self.edges.select("g", "n", "r"), ["n", "r"]).select("g", "m", "n", "callee", "p", "r", "real")
 
     def returned(self, x):
         """Return sites are successors, so a group's are those that it may walk to."""
         return x.join(self.edges.select("g", "n", "r"), ["g", "n", "r"], "left_semi")
 
 
-PATH = "g long, m long, d1 string, n long, f string"
+class Part:
+    """Tabulation inside one part: its program, what is known there, and a worklist."""
+
+    def __init__(self, rows: pd.DataFrame, step, strips: bool, blocked: set, inner: set):
+        """blocked (g, p): calls not entered; inner (g, n): criteria units that are no heads, which nothing extends."""
+        self.moves, self.strips, self.blocked, self.inner = step(rows), strips, blocked, inner
+        self.enter, self.back, self.end, self.ext = {}, {}, set(), set()
+        own = set(rows.loc[rows["kind"] == END, "m"].tolist()) | set(rows["m"].tolist())
+        num = lambda x: None if x is None or x != x else int(x)
+        for kind, g, a, b, callee, p, real in zip(*(rows[c].tolist() for c in ("kind", "g", "a", "b", "callee", "p", "real"))):
+            if kind == END:
+                self.end.add(int(a))
+            elif kind == EXT:
+                self.ext.add((int(a), int(b)))
+            elif kind in (ENTER, BACK) and int(callee) in own:
+                if kind == ENTER:
+                    self.enter.setdefault(int(a), []).append((int(b), int(callee), int(p)))
+                else:
+                    self.back.setdefault((int(a), int(callee)), []).append((num(g), int(b), int(p), bool(real)))
+        self.seen, self.exits, self.callers, self.stack, self.out = set(), {}, {}, [], []
+
+    def note(self, x) -> None:
+        """x is known, from a round before."""
+        g, m, d1, n, f = x
+        self.seen.add(x)
+        if n in self.end:
+            self.exits.setdefault((g, m, d1), set()).add(f)
+        for _, callee, p in self.enter.get(n, ()):
+            if (g, p) not in self.blocked:
+                self.callers.setdefault((g, callee, strip_text(f, n) if self.strips else f), set()).add((m, d1, n))
+
+    def push(self, x) -> None:
+        if x not in self.seen:
+            self.seen.add(x)
+            self.stack.append(x)
+            self.out.append(x)
+
+    def come_back(self, g, callee, f, caller) -> None:
+        m, d1, n = caller
+        for of, r, p, real in self.back.get((n, callee), ()):
+            if (of is None or of == g) and (real or f == ZERO) and (g, p) not in self.blocked:
+                self.push((g, m, d1, r, f))
+                if self.ext and f not in (ZERO, EPSILON):
+                    units = f.split(",")
+                    if (int(units[0]), r) in self.ext and (g, int(units[0])) not in self.inner and str(r) not in units:
+                        self.push((g, m, d1, r, f"{r},{f}"))
+
+    def run(self) -> list:
+        while self.stack:
+            g, m, d1, n, f = self.stack.pop()
+            for r, x in self.moves(g, n, f):
+                self.push((g, m, d1, r, x))
+            for s, callee, p in self.enter.get(n, ()):
+                if (g, p) not in self.blocked:
+                    d3 = strip_text(f, n) if self.strips else f
+                    self.push((g, callee, d3, s, d3))
+                    of = self.callers.setdefault((g, callee, d3), set())
+                    if (m, d1, n) not in of:
+                        of.add((m, d1, n))
+                        for x in tuple(self.exits.get((g, callee, d3), ())):
+                            self.come_back(g, callee, x, (m, d1, n))
+            if n in self.end:
+                of = self.exits.setdefault((g, m, d1), set())
+                if f not in of:
+                    of.add(f)
+                    for caller in tuple(self.callers.get((g, m, d1), ())):
+                        self.come_back(g, m, f, caller)
+        return self.out
 
 
-def through_bodies(seeds: DataFrame, program: DataFrame, step) -> DataFrame:
-    """Rows (g, m, d1, n, f): seeds and all that they lead to inside their bodies."""
+PATH = "g long, m long, d1 string, n long, f string"
 
-    def run(new, rows):
-        moves, out = step(rows), []
-        for (g, m, d1), part in new.groupby(["g", "m", "d1"], sort=False):
-            seen = set(zip(part["n"].tolist(), part["f"].tolist()))
-            stack = list(seen)
-            while stack:
-                n, f = stack.pop()
-                for x in moves(g, n, f):
-                    if x not in seen:
-                        seen.add(x)
-                        stack.append(x)
-            out.append(pd.DataFrame({"g": g, "m": m, "d1": d1, "n": [x[0] for x in seen], "f": [x[1] for x in seen]}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64" if "long" in c else "object") for c in PATH.split(", ")})
 
-    return seeds.select("g", "m", "d1", "n", "f").groupBy("m").cogroup(program.groupBy("m")).applyInPandas(run, PATH)
+def through_parts(new: DataFrame, known: DataFrame | None, program: DataFrame, flows: FlowFunctions, parts: int) -> DataFrame:
+    """New rows (g, m, d1, n, f): the seeds new and all that they lead to inside their parts, given what is known there."""
+    part = F.pmod(F.xxhash64("m"), F.lit(parts)).alias("part")
+    x = new.select(part, "g", "m", "d1", "n", "f", F.lit(True).alias("fresh"))
+    if known is not None:
+        old = known.select(part, "g", "m", "d1", "n", "f", F.lit(False).alias("fresh"))
+        x = x.unionByName(old.join(x.select("part").distinct(), "part", "left_semi").select(*x.columns) if parts > 1 else old)
+    step, strips = type(flows).step, flows.strips
+    # criteria are a text that was written by hand
+    blocked = {(r["g"], r["p"]) for r in flows.sc.blocked().collect()}
+    inner = {(r["g"], r["n"]) for r in flows.sc.units.where("not is_head").collect()}
+
+    def run(rows, text):
+        out = []
+        if rows["fresh"].any():
+            p = Part(text, step, strips, blocked, inner)
+            of = lambda fresh: zip(*(rows.loc[rows["fresh"] == fresh, c].tolist() for c in ("g", "m", "d1", "n", "f")))
+            for r in of(False):
+                p.note(r)
+            for r in of(True):
+                p.push(r)
+            out = p.run()
+        return pd.DataFrame(out, columns=["g", "m", "d1", "n", "f"]).astype({"g": "int64", "m": "int64", "n": "int64"})
+
+    return x.groupBy("part").cogroup(program.withColumn("part", part).groupBy("part")).applyInPandas(run, PATH)
 
 
 def path_edges(view: GraphView, seeds: DataFrame, flows: FlowFunctions) -> DataFrame:
     """(g, m, d1, n, f) from seeds (g, m, n, f), zero included."""
-    program = stage(flows.program())
+    program = stage(flows.program().unionByName(flows.calling()))
+    parts = max(1, -(-view.next.select("n").distinct().count() // PART_UNITS))
+    first = seeds.select("g", "m", F.col("f").alias("d1"), "n", "f")
     blocked = flows.sc.blocked()
     end = view.exits.select("n").distinct().withColumn("_end", F.lit(True))
     at = view.calls.select("n").distinct().withColumn("_call", F.lit(True))
-    begin = view.starts.select(F.col("m").alias("callee"), F.col("n").alias("s"))
-    into = stage(view.calls.select("n", "callee", "p").join(begin, "callee"))
-    sites = stage(view.calls.select("n", "callee", "p").join(view.next.select("n", "r"), "n").distinct())
-    cols = ["g", "m", "d1", "n", "f", "at_end", "at_call"]
+    cols = ["g", "m", "d1", "n", "f"]
 
     def marked(x: DataFrame) -> DataFrame:
         """With what n is: later rounds find exits and calls among their rows without a join."""
         x = x.join(end, "n", "left").join(at, "n", "left")
-        return x.withColumn("at_end", F.col("_end").isNotNull()).withColumn("at_call", F.col("_call").isNotNull()).select(*cols)
+        return x.withColumn("at_end", F.col("_end").isNotNull()).withColumn("at_call", F.col("_call").isNotNull()).select(*cols, "at_end", "at_call")
+
+    start = stage(marked(through_parts(first, None, program, flows, parts)))
+    if parts == 1:
+        return start.select(*cols)
+    begin = view.starts.select(F.col("m").alias("callee"), F.col("n").alias("s"))
+    into = stage(view.calls.select("n", "callee", "p").join(begin, "callee"))
+    sites = stage(flows.sites().select("n", "callee", "p", "r").distinct())
 
     def opened(x: DataFrame, to: DataFrame) -> DataFrame:
         """Rows at calls with what their group enters there."""
-        return x.where("at_call").select("g", "m", "d1", "n", "f").join(to, "n").join(blocked, ["g", "p"], "left_anti")
+        return x.where("at_call").select(*cols).join(to, "n").join(blocked, ["g", "p"], "left_anti")
 
     def returns(ends: DataFrame, callers: DataFrame) -> DataFrame:
         e = ends.where("at_end").select("g", F.col("m").alias("callee"), F.col("d1").alias("d3"), F.col("f").alias("d4"))
@@ -304,12 +411,10 @@ def path_edges(view: GraphView, seeds: DataFrame, flows: FlowFunctions) -> DataF
         f = flows.enter(F.col("f"), F.col("n"))
         entered = opened(delta, into).select("g", F.col("callee").alias("m"), f.alias("d1"), F.col("s").alias("n"), f.alias("f"))
         new = entered.unionByName(returns(delta, every)).unionByName(returns(every, delta)).distinct()
-        new = new.join(every.select("g", "m", "d1", "n", "f"), ["g", "m", "d1", "n", "f"], "left_anti")
-        return marked(through_bodies(new, program, flows.step))
+        new = new.join(every.select(*cols), cols, "left_anti")
+        return marked(through_parts(new, every, program, flows, parts))
 
-    first = seeds.select("g", "m", F.col("f").alias("d1"), "n", "f")
-    start = marked(through_bodies(first, program, flows.step))
-    return (fixpoint(start, step) if not sites.isEmpty() else stage(start)).select("g", "m", "d1", "n", "f")
+    return fixpoint(start, step).select(*cols)
 
 
 def solve(view: GraphView, seeds: DataFrame, flows: FlowFunctions) -> DataFrame:

@@ -7,9 +7,9 @@ _BASE = """WITH RECURSIVE ev AS (
          CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
 st AS (SELECT *, user_id * 22 + t * 4 + k % 4 AS u FROM ev),
 nx AS (SELECT *, lead(u) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM st),
-cfg AS (SELECT DISTINCT user_id AS m, u AS src, coalesce(nxt, user_id * 22 + 21) AS dst FROM nx UNION SELECT DISTINCT user_id, user_id * 22 + 20, u FROM nx WHERE ord = 1),
-un AS (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st),
-ca AS (SELECT DISTINCT u AS n, k AS callee, user_id AS m FROM st WHERE t = 0 AND k IN (SELECT user_id FROM st)),
+cfg AS MATERIALIZED (SELECT DISTINCT user_id AS m, u AS src, coalesce(nxt, user_id * 22 + 21) AS dst FROM nx UNION SELECT DISTINCT user_id, user_id * 22 + 20, u FROM nx WHERE ord = 1),
+un AS MATERIALIZED (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st),
+ca AS MATERIALIZED (SELECT DISTINCT u AS n, k AS callee, user_id AS m FROM st WHERE t = 0 AND k IN (SELECT user_id FROM st)),
 mg AS (SELECT DISTINCT m AS src, callee AS dst FROM ca),
 l0 AS (SELECT *, user_id // 2 AS m, (user_id // 2) * 1000 + ord * 10 + t AS n FROM ev WHERE ord <= 8),
 l1 AS (SELECT *, lead(n) OVER (PARTITION BY user_id ORDER BY ord) AS nxt FROM l0),
@@ -50,21 +50,21 @@ sup(c, p) AS (SELECT CAST(c AS BIGINT), CAST(p AS BIGINT) FROM (VALUES (1, 0), (
 imp(c, i) AS (SELECT CAST(c AS BIGINT), CAST(6 AS BIGINT) FROM (VALUES (1), (4)) t(c)),
 kc AS (SELECT n AS call_unit, callee AS callee_id, CASE WHEN callee % 13 = 7 THEN 'finalize' WHEN callee % 10 = 3 THEN 'thread' WHEN callee % 10 = 9 THEN 'finalize' WHEN m % 5 = 4 THEN 'reflective_method' ELSE 'explicit' END AS kind FROM ca
   UNION SELECT u, k, 'clinit' FROM st WHERE t = 3 AND k % 13 = 7 AND k IN (SELECT user_id FROM st)),
-fc AS (SELECT DISTINCT call_unit, callee_id FROM kc WHERE kind <> 'finalize'),
+fc AS MATERIALIZED (SELECT DISTINCT call_unit, callee_id FROM kc WHERE kind <> 'finalize'),
 lc AS (SELECT n, min(callee) AS lo FROM ca GROUP BY n),
 u0 AS (SELECT un.u, un.m, un.c, un.u % 22 AS o, CASE WHEN un.u % 22 < 20 THEN un.u % 22 // 4 END AS t, un.u % 22 % 4 AS j, lo FROM un LEFT JOIN lc ON lc.n = un.u),
 u1 AS (SELECT *, CASE WHEN t = 0 AND m % 5 = 4 THEN -3 WHEN t = 0 AND m % 5 = 3 THEN -2 WHEN t = 0 THEN coalesce(lo, -9) WHEN t = 2 AND j < 2 THEN -100 - m % 5
   WHEN t = 2 AND j = 2 THEN CASE m % 6 WHEN 0 THEN -1 WHEN 1 THEN -4 ELSE -9 END WHEN t = 2 THEN CASE WHEN m % 2 = 0 THEN -2 ELSE -3 END END AS decl FROM u0),
-uu AS (SELECT u AS unit_id, m AS method_id, o AS ord, CASE WHEN o >= 20 THEN -1 ELSE o END AS line, CASE WHEN o >= 20 THEN -1 ELSE o + j END AS end_line, c AS is_call,
+uu AS MATERIALIZED (SELECT u AS unit_id, m AS method_id, o AS ord, CASE WHEN o >= 20 THEN -1 ELSE o END AS line, CASE WHEN o >= 20 THEN -1 ELSE o + j END AS end_line, c AS is_call,
   CASE WHEN t = 0 THEN ['static', 'virtual', 'interface', 'special'][j + 1] WHEN t = 2 THEN CASE WHEN j = 2 THEN 'static' ELSE 'special' END END AS invoke_kind, decl,
   CASE WHEN (t = 0 AND j > 0) OR (t = 2 AND j < 2) THEN m * 4 + j WHEN t = 2 AND j = 3 THEN m * 4 + 2 END AS base_local,
   CASE WHEN t = 3 THEN m * 4 + j WHEN decl = -2 AND (t = 0 OR j = 3) THEN m * 4 + 3 END AS assigned, CASE WHEN decl = -3 THEN m * 4 + 1 END AS first_arg,
   coalesce(t = 1 AND j = 0, false) AS is_catch, coalesce(t = 1 AND j = 3, false) AS is_nop, CASE WHEN t = 3 THEN m % 5 END AS new_class FROM u1),
-mm AS (SELECT user_id AS method_id, user_id % 7 AS class_id, CASE WHEN user_id = 0 THEN 'main' WHEN user_id % 13 = 7 THEN '<clinit>' WHEN user_id % 11 = 5 THEN '<init>' ELSE 'm' || (user_id % 3) END AS name,
+mm AS MATERIALIZED (SELECT user_id AS method_id, user_id % 7 AS class_id, CASE WHEN user_id = 0 THEN 'main' WHEN user_id % 13 = 7 THEN '<clinit>' WHEN user_id % 11 = 5 THEN '<init>' ELSE 'm' || (user_id % 3) END AS name,
     'M' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS signature, user_id % 4 = 0 OR user_id % 13 = 7 AS is_static, user_id % 11 = 5 AND user_id % 13 <> 7 AS is_constructor, true AS has_body FROM (SELECT DISTINCT user_id FROM ev)
   UNION ALL SELECT i, -1, n, n, false, false, false FROM (VALUES (-1, 'forName'), (-2, 'newInstance'), (-3, 'invoke'), (-4, 'class$'), (-9, 'put')) t(i, n)
   UNION ALL SELECT -100 - i, i, '<init>', 'init' || i, false, true, false FROM range(7) t(i)),
-si AS (SELECT uu.*, mm.class_id, c.name AS class_name, mm.name AS method_name, mm.signature, d.class_id AS decl_class, d.is_constructor AS decl_cons, dc.name AS callee_class, dc.is_interface AS decl_iface, d.name AS callee_name
+si AS MATERIALIZED (SELECT uu.*, mm.class_id, c.name AS class_name, mm.name AS method_name, mm.signature, d.class_id AS decl_class, d.is_constructor AS decl_cons, dc.name AS callee_class, dc.is_interface AS decl_iface, d.name AS callee_name
   FROM uu JOIN mm ON mm.method_id = uu.method_id JOIN cls c ON c.class_id = mm.class_id LEFT JOIN mm d ON d.method_id = uu.decl LEFT JOIN cls dc ON dc.class_id = d.class_id),
 ct AS (SELECT *, class_name || '.' || method_name || '/' || callee_class || '.' || callee_name || '/' || line AS call FROM si WHERE is_call),
 bo AS (SELECT min(u) AS a, max(u) AS b FROM un WHERE c AND u % 22 BETWEEN 8 AND 11 GROUP BY m HAVING min(u) <> max(u)),
@@ -96,13 +96,13 @@ cnt AS (SELECT m, count(*) AS k FROM gn GROUP BY m),
 bel AS (SELECT d, count(*) - 1 AS k FROM dom GROUP BY d), abo AS (SELECT d, count(*) - 1 AS k FROM domp GROUP BY d),
 sme AS (SELECT gn.m, gn.n FROM gn JOIN cnt ON cnt.m = gn.m LEFT JOIN bel ON bel.d = gn.n LEFT JOIN abo ON abo.d = gn.n WHERE coalesce(bel.k, 0) + coalesce(abo.k, 0) + 1 < cnt.k),
 up(m, n, b) AS (SELECT m, n, b FROM low UNION SELECT up.m, up.n, low.b FROM up JOIN low ON low.n = up.b),
-br AS (SELECT DISTINCT low.m, low.n, low.b FROM low JOIN sme ON sme.n = low.n JOIN up ON up.n = low.n JOIN g ON g.src = up.b
+br AS MATERIALIZED (SELECT DISTINCT low.m, low.n, low.b FROM low JOIN sme ON sme.n = low.n JOIN up ON up.n = low.n JOIN g ON g.src = up.b
   WHERE g.dst <> low.n AND NOT EXISTS (SELECT 1 FROM dom WHERE dom.n = low.n AND dom.d = g.dst) AND NOT EXISTS (SELECT 1 FROM g e WHERE e.src = low.n AND e.dst = g.dst))"""
 
 
-_TAILS = _CRIT + """, q(g, h, t) AS (SELECT tail, h, tail FROM cr UNION SELECT hi, lo, hi FROM mp WHERE lo <> hi),
-qo AS (SELECT g, h AS n FROM q UNION SELECT g, t FROM q), qb AS (SELECT DISTINCT g, h AS p FROM q WHERE h <> g),
-pt(g, r, fin, fout) AS (SELECT g, t, '', CAST(t AS VARCHAR) FROM q UNION SELECT g, h, CAST(t AS VARCHAR), h || ',' || t FROM q)"""
+_TAILS = _CRIT + """, q(g, h, t) AS MATERIALIZED (SELECT tail, h, tail FROM cr UNION SELECT hi, lo, hi FROM mp WHERE lo <> hi),
+qo AS MATERIALIZED (SELECT g, h AS n FROM q UNION SELECT g, t FROM q), qb AS MATERIALIZED (SELECT DISTINCT g, h AS p FROM q WHERE h <> g),
+pt(g, r, fin, fout) AS MATERIALIZED (SELECT g, t, '', CAST(t AS VARCHAR) FROM q UNION SELECT g, h, CAST(t AS VARCHAR), h || ',' || t FROM q)"""
 
 
 def _passes(calls: str = "ca", edges: str = "cfg", back: str | None = None, real: str = "true", ext: str | None = None, seqs: bool = True) -> str:
@@ -119,32 +119,35 @@ def _passes(calls: str = "ca", edges: str = "cfg", back: str | None = None, real
         begin = """SELECT g, f FROM at0 a WHERE NOT EXISTS (SELECT 1 FROM at0 b WHERE b.g = a.g AND ends_with(b.f, ',' || a.f)) AND EXISTS (SELECT 1 FROM q WHERE q.g = a.g AND ends_with(',' || a.f, ',' || q.h || ',' || q.t))"""
     else:
         begin = "SELECT g, f FROM at0 WHERE (g, f) IN (SELECT g, h || ',' || t FROM q)"
-    return f""", bc AS (SELECT DISTINCT e.dst AS n, c.callee, e.src AS p FROM {edges} e JOIN {calls} c ON c.n = e.src),
-bk2 AS (SELECT DISTINCT callee, n AS r FROM {back}),
+    return f""", bc AS MATERIALIZED (SELECT DISTINCT e.dst AS n, c.callee, e.src AS p FROM {edges} e JOIN {calls} c ON c.n = e.src),
+bk2 AS MATERIALIZED (SELECT DISTINCT callee, n AS r FROM {back}),
+rb AS MATERIALIZED (SELECT DISTINCT x.g, b.n, b.callee, e.src AS r FROM bc b JOIN {edges} e ON e.dst = b.n, (SELECT DISTINCT g FROM q) x WHERE NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = x.g AND qb.p = b.p)),
 bu(g, m, d1, n, f) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), '', CAST(21 AS BIGINT), '' FROM q UNION
   SELECT * FROM (SELECT p.g, p.m, p.d1, e.src, p.f FROM bu p JOIN {edges} e ON e.dst = p.n
   UNION ALL SELECT p.g, p.m, p.d1, e.src, x.fout FROM bu p JOIN {edges} e ON e.dst = p.n JOIN pt x ON x.g = p.g AND x.r = e.src AND x.fin = p.f WHERE p.n IN (SELECT y.dst FROM {edges} y JOIN un ON un.u = y.src WHERE un.c)
   UNION ALL SELECT p.g, c.callee, p.f, c.callee * 22 + 21, p.f FROM bu p JOIN bc c ON c.n = p.n WHERE NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = c.p)
   UNION ALL (WITH ret AS (
-    SELECT c.g, c.m, c.d1, e.src AS r, p.f, p.m AS callee FROM bu p JOIN recurring.bu c ON c.g = p.g AND c.f = p.d1 JOIN bc b ON b.n = c.n AND b.callee = p.m JOIN {edges} e ON e.dst = c.n WHERE p.n = p.m * 22 + 20 AND NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = b.p)
-    UNION ALL SELECT c.g, c.m, c.d1, e.src, p.f, p.m FROM bu c JOIN recurring.bu p ON c.g = p.g AND c.f = p.d1 JOIN bc b ON b.n = c.n AND b.callee = p.m JOIN {edges} e ON e.dst = c.n WHERE p.n = p.m * 22 + 20 AND NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = b.p)),
+    SELECT c.g, c.m, c.d1, b.r, p.f, b.callee FROM bu p JOIN rb b ON b.g = p.g AND b.callee = p.m JOIN recurring.bu c ON concat(c.g, ':', c.n, ':', c.f) = concat(p.g, ':', b.n, ':', p.d1) WHERE p.n = p.m * 22 + 20
+    UNION ALL SELECT c.g, c.m, c.d1, b.r, p.f, b.callee FROM bu c JOIN rb b ON b.g = c.g AND b.n = c.n JOIN recurring.bu p ON concat(p.g, ':', p.n, ':', p.d1) = concat(c.g, ':', b.callee * 22 + 20, ':', c.f)),
    kept AS (SELECT * FROM ret WHERE f = '' OR EXISTS (SELECT 1 FROM bk2 WHERE bk2.callee = ret.callee AND bk2.r = ret.r))
    SELECT g, m, d1, r, f FROM kept {more.replace("FROM ret ", "FROM kept ret ")}))),
-live AS (SELECT DISTINCT g, n FROM bu WHERE f <> ''),
-at0 AS (SELECT DISTINCT g, f FROM bu WHERE n = 20 AND f <> ''),
-be AS ({begin}),
-bd AS (SELECT DISTINCT n FROM {calls} WHERE {real}),
+live AS MATERIALIZED (SELECT DISTINCT g, n FROM bu WHERE f <> ''),
+at0 AS MATERIALIZED (SELECT DISTINCT g, f FROM bu WHERE n = 20 AND f <> ''),
+be AS MATERIALIZED ({begin}),
+bd AS MATERIALIZED (SELECT DISTINCT n FROM {calls} WHERE {real}),
+mv AS MATERIALIZED (SELECT l.g, e.src AS n, e.dst AS r, CASE WHEN o.n IS NOT NULL THEN 1 WHEN bd.n IS NOT NULL AND un.c THEN 2 ELSE 0 END AS k FROM {edges} e JOIN live l ON l.n = e.dst JOIN un ON un.u = e.src LEFT JOIN (SELECT DISTINCT g, n FROM qo) o ON o.g = l.g AND o.n = e.src LEFT JOIN bd ON bd.n = e.src),
+en AS MATERIALIZED (SELECT x.g, c.n, c.callee FROM {calls} c, (SELECT DISTINCT g FROM q) x WHERE NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = x.g AND qb.p = c.n)),
+rt AS MATERIALIZED (SELECT DISTINCT en.g, en.n, en.callee, mv.r FROM en JOIN mv ON mv.g = en.g AND mv.n = en.n),
 td(g, m, d1, n, f) AS (SELECT g, CAST(0 AS BIGINT), f, CAST(20 AS BIGINT), f FROM (SELECT g, f FROM be UNION SELECT g, '' FROM be) UNION
-  SELECT * FROM (SELECT p.g, p.m, p.d1, e.dst, CASE WHEN EXISTS (SELECT 1 FROM qo WHERE qo.g = p.g AND qo.n = p.n) THEN {strip("p.f", "p.n")} ELSE p.f END FROM td p JOIN {edges} e ON e.src = p.n JOIN live l ON l.g = p.g AND l.n = e.dst
-      WHERE p.f = '' OR EXISTS (SELECT 1 FROM qo WHERE qo.g = p.g AND qo.n = p.n) OR NOT EXISTS (SELECT 1 FROM bd JOIN un ON un.u = bd.n AND un.c WHERE bd.n = p.n)
-  UNION ALL SELECT p.g, c.callee, {into}, c.callee * 22 + 20, {into} FROM td p JOIN {calls} c ON c.n = p.n WHERE NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = p.n)
-  UNION ALL SELECT c.g, c.m, c.d1, e.dst, p.f FROM td p JOIN recurring.td c ON c.g = p.g AND p.d1 = {down} JOIN {calls} b ON b.n = c.n AND b.callee = p.m JOIN {edges} e ON e.src = c.n JOIN live l ON l.g = p.g AND l.n = e.dst WHERE p.n = p.m * 22 + 21 AND NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = c.n)
-  UNION ALL SELECT c.g, c.m, c.d1, e.dst, p.f FROM td c JOIN recurring.td p ON c.g = p.g AND p.d1 = {down} JOIN {calls} b ON b.n = c.n AND b.callee = p.m JOIN {edges} e ON e.src = c.n JOIN live l ON l.g = p.g AND l.n = e.dst WHERE p.n = p.m * 22 + 21 AND NOT EXISTS (SELECT 1 FROM qb WHERE qb.g = p.g AND qb.p = c.n))),
+  SELECT * FROM (SELECT p.g, p.m, p.d1, mv.r, CASE WHEN mv.k = 1 THEN {strip("p.f", "p.n")} ELSE p.f END FROM td p JOIN mv ON mv.g = p.g AND mv.n = p.n WHERE p.f = '' OR mv.k <> 2
+  UNION ALL SELECT p.g, c.callee, {into}, c.callee * 22 + 20, {into} FROM td p JOIN en c ON c.g = p.g AND c.n = p.n
+  UNION ALL SELECT c.g, c.m, c.d1, b.r, p.f FROM td p JOIN rt b ON b.g = p.g AND b.callee = p.m JOIN recurring.td c ON concat(c.g, ':', c.n, ':', {down}) = concat(p.g, ':', b.n, ':', p.d1) WHERE p.n = p.m * 22 + 21
+  UNION ALL SELECT c.g, c.m, c.d1, b.r, p.f FROM td c JOIN rt b ON b.g = c.g AND b.n = c.n JOIN recurring.td p ON concat(p.g, ':', p.n, ':', p.d1) = concat(c.g, ':', b.callee * 22 + 21, ':', {down}))),
 sl AS (SELECT DISTINCT td.g, td.n FROM td JOIN bu ON bu.g = td.g AND bu.n = td.n AND bu.f = td.f WHERE td.f <> '' UNION SELECT DISTINCT td.g, td.n FROM td JOIN live ON live.g = td.g AND live.n = td.n WHERE td.f = 'e')"""
 
 
-_NONE = ", nc AS (SELECT n, callee FROM ca WHERE false)"
-_ACYC = ", ac AS (SELECT n, callee FROM ca WHERE callee > m)"
+_NONE = ", nc AS MATERIALIZED (SELECT n, callee FROM ca WHERE false)"
+_ACYC = ", ac AS MATERIALIZED (SELECT n, callee FROM ca WHERE callee > m)"
 _SLICE = " SELECT sl.g AS tail_unit, un.m AS method_id, un.u AS unit_id FROM sl JOIN un ON un.u = sl.n"
 _FACTS = " SELECT DISTINCT g AS tail_unit, n AS unit_id, f AS fact FROM {} WHERE f <> ''"
 
@@ -161,7 +164,7 @@ rv AS (SELECT fc.callee_id, fc.call_unit, si.is_call, coalesce(si.is_call AND in
 al AS (SELECT method_id - x AS o, assigned % 4 AS slot, unit_id FROM uu, range(2) r(x) WHERE new_class IS NOT NULL),
 po AS (SELECT o * 4 + slot AS local_id, cc.call_unit AS ext_unit, ks.c AS made FROM al JOIN cc ON cc.new_unit = al.unit_id JOIN ks ON ks.k = cc.call_unit
   UNION SELECT x.user_id * 4 + 1, n.u, x.user_id % 5 FROM (SELECT DISTINCT user_id FROM ev) x JOIN (SELECT base_local AS l, max(unit_id) AS u FROM si WHERE is_call AND callee_name = 'newInstance' AND base_local IS NOT NULL AND invoke_kind <> 'static' GROUP BY base_local) n ON n.l = x.user_id * 4 + 2),
-mx AS (SELECT DISTINCT callee_id AS method_id, call_unit AS ext_unit FROM rv WHERE (ts AND is_call) OR (NOT ts AND NOT inst)
+mx AS MATERIALIZED (SELECT DISTINCT callee_id AS method_id, call_unit AS ext_unit FROM rv WHERE (ts AND is_call) OR (NOT ts AND NOT inst)
   UNION SELECT rv.callee_id, po.ext_unit FROM rv JOIN po ON po.local_id = rv.base WHERE NOT ts AND inst AND CASE WHEN tk OR invoke_kind = 'special' THEN EXISTS (SELECT 1 FROM sc2 WHERE sc2.c = po.made AND sc2.s = rv.tc)
     ELSE EXISTS (SELECT 1 FROM dp WHERE dp.class_id = po.made AND dp.decl_method_id = rv.decl AND dp.target_id = rv.callee_id)
      AND CASE WHEN decl_iface THEN EXISTS (SELECT 1 FROM im WHERE im.c = po.made AND im.i = rv.decl_class) ELSE EXISTS (SELECT 1 FROM sc2 WHERE sc2.c = po.made AND sc2.s = rv.decl_class) END END)"""
@@ -179,7 +182,7 @@ lm(n) AS (SELECT fc.callee_id FROM fc JOIN uu ON uu.unit_id = fc.call_unit AND u
 ks0 AS (SELECT unit_id AS k, base_local AS l FROM si WHERE is_call AND decl_cons AND base_local IS NOT NULL),
 cw0(a, l, n) AS (SELECT unit_id, assigned, unit_id FROM uu WHERE new_class IS NOT NULL UNION SELECT cw0.a, cw0.l, cfg.dst FROM cw0 JOIN cfg ON cfg.src = cw0.n WHERE NOT EXISTS (SELECT 1 FROM ks0 WHERE ks0.k = cw0.n AND ks0.l = cw0.l)),
 cc0 AS (SELECT min(ks0.k) AS k FROM cw0 JOIN ks0 ON ks0.k = cw0.n AND ks0.l = cw0.l GROUP BY cw0.a),
-lab(id, "on", tag) AS (SELECT n, 'unit', 'loop' FROM lb UNION SELECT n, 'unit', 'intra_cycle' FROM lb UNION SELECT n, 'method', 'intra_cycle' FROM lm UNION SELECT src, 'method', 'inter_cycle' FROM c2 WHERE src = dst
+lab(id, "on", tag) AS MATERIALIZED (SELECT n, 'unit', 'loop' FROM lb UNION SELECT n, 'unit', 'intra_cycle' FROM lb UNION SELECT n, 'method', 'intra_cycle' FROM lm UNION SELECT src, 'method', 'inter_cycle' FROM c2 WHERE src = dst
   UNION SELECT b.dst, 'method', 'inter_cycle' FROM c2 a JOIN c2 b ON b.src = a.src WHERE a.src = a.dst UNION SELECT src, 'method', 'recursion' FROM c2 WHERE src = dst UNION SELECT n, 'method', 'reachable' FROM rm
   UNION SELECT n, 'unit', 'branch' FROM br UNION SELECT k, 'unit', 'constructor' FROM cc0)"""
 )
@@ -194,7 +197,7 @@ us AS (SELECT uu.unit_id AS n FROM uu WHERE uu.unit_id IN (SELECT unit FROM e2 U
   uu.unit_id IN (SELECT id FROM lab WHERE "on" = 'unit' AND tag = 'intra_cycle') OR uu.method_id IN (SELECT id FROM lab WHERE "on" = 'method' AND tag IN ('intra_cycle', 'inter_cycle')) OR uu.decl = -4
   OR uu.method_id NOT IN (SELECT n FROM rm) OR (uu.unit_id NOT IN (SELECT n FROM br) AND uu.method_id NOT IN (SELECT n FROM bv)))),
 ew(s, n) AS (SELECT unit, ext_unit FROM e2 WHERE unit NOT IN (SELECT n FROM us) UNION SELECT ew.s, e2.ext_unit FROM ew JOIN e2 ON e2.unit = ew.n WHERE ew.n IN (SELECT n FROM us)),
-rel AS (SELECT DISTINCT s AS unit, n AS ext_unit FROM ew WHERE n NOT IN (SELECT n FROM us) AND s <> n)"""
+rel AS MATERIALIZED (SELECT DISTINCT s AS unit, n AS ext_unit FROM ew WHERE n NOT IN (SELECT n FROM us) AND s <> n)"""
 
 
 _RELATION = _relation("SELECT a FROM bo UNION SELECT b FROM bo", "SELECT a FROM bo", "{base}")
@@ -214,7 +217,7 @@ att AS (SELECT arg_min(fi.n, fi.s) AS call_unit, odd.callee_id FROM odd JOIN fi
 _CLINIT = _clinit("SELECT a FROM bo")
 #: Call edges of the view of all groups together (ft), and without a package and the library (fb, fk).
 _CLINIT_TAILS = _clinit("SELECT p FROM qb") + """, ft AS (SELECT call_unit AS n, callee_id AS callee FROM fc UNION SELECT call_unit, callee_id FROM att),
-fb AS (SELECT n, callee FROM ft WHERE callee % 7 NOT IN (3, 5, 6) OR (callee % 7 = 3 AND (n, callee) IN (SELECT call_unit, callee_id FROM att))), fk AS (SELECT n, callee FROM ft WHERE callee % 7 NOT IN (5, 6))"""
+fb AS MATERIALIZED (SELECT n, callee FROM ft WHERE callee % 7 NOT IN (3, 5, 6) OR (callee % 7 = 3 AND (n, callee) IN (SELECT call_unit, callee_id FROM att))), fk AS MATERIALIZED (SELECT n, callee FROM ft WHERE callee % 7 NOT IN (5, 6))"""
 
 ORACLE = {
     "call_edges_filtered": _PROG + " SELECT call_unit, callee_id FROM fc",
@@ -300,13 +303,13 @@ SELECT f.g AS tail_unit, cfg.dst AS unit_id, cfg.dst || ',' || f.f AS fact FROM
     "initial_facts": _BASE + _TAILS + _passes() + " SELECT g AS tail_unit, f AS fact FROM be",
     "slice": _BASE + _TAILS + _passes() + _SLICE,
     "slice_acyclic": _BASE + _TAILS + _ACYC + _passes("ac") + _SLICE,
-    "slice_infeasible": _BASE.replace("un AS (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st)", "un AS (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, user_id = 0 FROM st)") + _TAILS.replace("q(g, h, t) AS (", "q0(g, h, t) AS (").replace("qo AS (", "q AS (SELECT DISTINCT g, CAST(21 AS BIGINT) AS h, g AS t FROM q0), qo AS (") + _ACYC + _passes("ac") + _SLICE,
+    "slice_infeasible": _BASE.replace("un AS MATERIALIZED (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, false FROM st)", "un AS MATERIALIZED (SELECT DISTINCT u, user_id AS m, t IN (0, 2) AS c FROM st UNION SELECT DISTINCT user_id * 22 + 20, user_id, false FROM st UNION SELECT DISTINCT user_id * 22 + 21, user_id, user_id = 0 FROM st)") + _TAILS.replace("q(g, h, t) AS MATERIALIZED (", "q0(g, h, t) AS (").replace("qo AS MATERIALIZED (", "q AS MATERIALIZED (SELECT DISTINCT g, CAST(21 AS BIGINT) AS h, g AS t FROM q0), qo AS MATERIALIZED (") + _ACYC + _passes("ac") + _SLICE,
     "slice_report": _PROG + _TAILS + _passes() + """, s AS (SELECT sl.g, si.signature, si.method_id, si.ord, '  u' || si.unit_id || ' {line: ' || si.line || '}' AS line FROM sl JOIN si ON si.unit_id = sl.n),
 l AS (SELECT g, signature, method_id, 3 + ord AS k, line FROM s UNION ALL SELECT DISTINCT g, signature, method_id, unnest([0, 1, 2]), unnest([repeat('=', 58), 'Method: ' || signature, 'Units in the tailored program:']) FROM s)
 SELECT g AS tail_unit, row_number() OVER (PARTITION BY g ORDER BY signature, method_id, k) AS pos, line FROM l""",
     "fact_dump": _PROG + _TAILS + _passes() + ", f AS (SELECT DISTINCT n, f FROM bu WHERE f <> '') SELECT row_number() OVER (PARTITION BY class_name, signature ORDER BY ord, unit_id, f) AS pos, class_name, signature, unit_id, f AS fact FROM f JOIN si ON si.unit_id = f.n JOIN cls ON cls.class_id = si.class_id WHERE NOT is_library",
     "slice_blocked": _PROG + _TAILS + _CLINIT_TAILS + _passes("fb", back="fk", real="callee NOT IN (SELECT method_id FROM mm WHERE name = '<clinit>')") + _SLICE,
-    "slice_program": _PROG + _NOEX + _LABELS + _EXT + _TAILS + _CLINIT_TAILS.replace("fb AS (", "fb0 AS (").replace("fk AS (", "fk0 AS (") + ", fb AS (SELECT n, callee FROM ft), fk AS (SELECT n, callee FROM ft)" + _RELATION_TAILS + _passes("fb", back="fk", real="callee NOT IN (SELECT method_id FROM mm WHERE name = '<clinit>')", ext="rel") + _SLICE,
+    "slice_program": _PROG + _NOEX + _LABELS + _EXT + _TAILS + _CLINIT_TAILS.replace("fb AS MATERIALIZED (", "fb0 AS (").replace("fk AS MATERIALIZED (", "fk0 AS (") + ", fb AS MATERIALIZED (SELECT n, callee FROM ft), fk AS MATERIALIZED (SELECT n, callee FROM ft)" + _RELATION_TAILS + _passes("fb", back="fk", real="callee NOT IN (SELECT method_id FROM mm WHERE name = '<clinit>')", ext="rel") + _SLICE,
     "extension_contract": _BASE + """, ul AS (SELECT n FROM (SELECT src AS n FROM mg UNION SELECT dst FROM mg) WHERE n % 3 = 1),
 w(s, n) AS (SELECT src, dst FROM mg WHERE src NOT IN (SELECT n FROM ul) UNION SELECT w.s, mg.dst FROM w JOIN mg ON mg.src = w.n WHERE w.n IN (SELECT n FROM ul))
 SELECT DISTINCT s AS src, n AS dst FROM w WHERE n NOT IN (SELECT n FROM ul) AND s <> n""",
